@@ -1,5 +1,12 @@
 """Gap filling in multi-station time series, and scoring of how well it went, on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the task, so workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 from panelfill.operators.fill import imputers, impute_grouped, register_imputer, run_methods
 from panelfill.operators.chained import impute_chained
 from panelfill.operators.learned import impute_als, impute_gbt

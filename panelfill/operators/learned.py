@@ -15,9 +15,9 @@ from panelfill.operators.neighbours import row_vectors
 from panelfill.operators.reshape import with_partition
 from panelfill.operators.scale import fit_scaler, scale
 from panelfill.operators.scan import date_ordinal, ordinal
-from panelfill.sources.storage import reliable
+from panelfill.sources.storage import stored
 
-COLUMNS_PER_CHECKPOINT = 5
+COLUMNS_PER_STORED_TABLE = 5
 
 
 def _trees(features: str, label: str, max_depth: int, max_iter: int, step_size: float, subsample: float,
@@ -47,7 +47,7 @@ def impute_gbt(p: DataFrame, value: str = "Value_missing", by: str = "Feature",
     The loop runs over models, not rows: each training is a distributed job.
     """
     named = row_vectors(with_partition(p.select(*CELL, value), by), value)
-    rows = reliable(named.select("part", "Date", "names", "x"))
+    rows = stored(named.select("part", "Date", "names", "x"))
     parts = rows.groupBy("part").agg(F.first("names").alias("names")).collect()
     gaps = {(r["part"], r["pos"]): (r["g"], r["s"]) for r in rows.select("part", F.posexplode("x"))
             .groupBy("part", "pos").agg(F.count_if(F.col("col").isNull()).alias("g"), F.count("col").alias("s")).collect()}
@@ -67,9 +67,9 @@ def impute_gbt(p: DataFrame, value: str = "Value_missing", by: str = "Feature",
             put = F.transform("cur", lambda v, i: F.when((i == j) & v.isNull(), F.col("_pred")).otherwise(v))
             mine = model.transform(design).withColumn("cur", put).drop("_f", "_y", "_pred", "rawPrediction")
             done += 1
-            if done % COLUMNS_PER_CHECKPOINT == 0:
-                mine = reliable(mine)
-        mine = reliable(mine)
+            if done % COLUMNS_PER_STORED_TABLE == 0:
+                mine = stored(mine)
+        mine = stored(mine)
         filled = mine if filled is None else filled.unionByName(mine)
     cells = (filled.select("Date", F.explode(F.arrays_zip("names", F.col("cur").alias("v"))).alias("c"))
              .select("Date", "c.names.Station", "c.names.Feature", F.col("c.v").alias("_fill")))
@@ -89,7 +89,7 @@ def tune_gbt(p: DataFrame, value: str = "Value_missing", by: str = "Wide", grid:
     filled = F.zip_with("x", "means", lambda v, m: F.coalesce(v, m))
     design = known.select("Date", F.get("x", F.col("_j") - 1).alias("_y"), array_to_vector(
         F.filter(filled, lambda v, i: i != F.col("_j") - 1)).alias("_f"))
-    sample = reliable(sample_split(design, n_rows, 0.8, seed))
+    sample = stored(sample_split(design, n_rows, 0.8, seed))
     trees = _trees("_f", "_y", 3, 10, 0.1, 1.0, 1.0, seed)
     builder = ParamGridBuilder()
     for name, values in grid.items():

@@ -52,14 +52,19 @@ def observed_neighbours(df: DataFrame, value: str = "Value", keys: list[str] = S
     Added columns: _pos, _prev, _prev_pos, _next, _next_pos, _mean.
     """
     v = F.col(value)
-    seen = v.isNotNull()
+    # The null checks are what the join below would add to one side only; said once, both uses of the cells
+    # are the same sub-plan and share one shuffle.
     cells = df.withColumn("_chunk", span_chunk(F.col("Date"), span_days))
+    for c in [*keys, "_chunk"]:
+        cells = cells.where(F.col(c).isNotNull())
     chunk = W.partitionBy(*keys, "_chunk")
     forward = chunk.orderBy("Date")
-    backward = chunk.orderBy(F.col("Date").desc()).rowsBetween(*UP_TO)
+    upto = forward.rowsBetween(*UP_TO)
+    onwards = chunk.orderBy(F.col("Date").desc()).rowsBetween(*UP_TO)
 
     numbered = cells.withColumn("_rn", F.row_number().over(forward))
-    rn_seen = F.when(seen, F.col("_rn"))
+    numbered = numbered.withColumn("_at", F.when(v.isNotNull(), F.col("_rn")))
+    rn_seen = F.col("_at")
 
     edges = (numbered.groupBy(*keys, "_chunk").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -81,11 +86,8 @@ def observed_neighbours(df: DataFrame, value: str = "Value", keys: list[str] = S
                        (F.sum("_sum").over(series) / F.nullif(F.sum("_n_seen").over(series), F.lit(0)))
                        .alias("_mean")))
 
-    local = (numbered
-             .withColumn("_prev", F.last(v, True).over(forward.rowsBetween(*UP_TO)))
-             .withColumn("_prev_pos", F.last(rn_seen, True).over(forward.rowsBetween(*UP_TO)))
-             .withColumn("_next", F.last(v, True).over(backward))
-             .withColumn("_next_pos", F.last(rn_seen, True).over(backward)))
+    behind = numbered.select("*", F.last(v, True).over(upto).alias("_prev"), F.last("_at", True).over(upto).alias("_prev_pos"))
+    local = behind.select("*", F.last(v, True).over(onwards).alias("_next"), F.last("_at", True).over(onwards).alias("_next_pos"))
     shift = F.col("_shift")
     return (local.join(carried, [*keys, "_chunk"])
             .withColumn("_prev", F.coalesce("_prev", "_in"))
@@ -93,7 +95,7 @@ def observed_neighbours(df: DataFrame, value: str = "Value", keys: list[str] = S
             .withColumn("_next", F.coalesce("_next", "_out"))
             .withColumn("_next_pos", F.coalesce(F.col("_next_pos") + shift, "_out_pos"))
             .withColumn("_pos", F.col("_rn") + shift)
-            .drop("_chunk", "_rn", "_shift", "_in", "_in_pos", "_out", "_out_pos"))
+            .drop("_chunk", "_rn", "_at", "_shift", "_in", "_in_pos", "_out", "_out_pos"))
 
 
 def sliding_sums(df: DataFrame, keys: list[str], pos: str, cols: list[str], half: int,

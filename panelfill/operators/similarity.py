@@ -7,53 +7,93 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelfill.functions.keys import CELL, SERIES
-from panelfill.operators.scan import date_ordinal, sliding_sums
+from panelfill.operators.scan import date_ordinal
 
 # Fixed values of the similarity index: window edge and stabilising constants.
 EDGE, K1, K2 = 7, 0.01, 0.03
 
 
+TILE = 128  # inner edge of the square tiles the matrices are cut into
+
+
+def box_sums(a: np.ndarray, edge: int) -> np.ndarray:
+    """Sum over every full edge x edge square."""
+    c = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
+    c[1:, 1:] = a.cumsum(axis=0).cumsum(axis=1)
+    return c[edge:, edge:] - c[:-edge, edge:] - c[edge:, :-edge] + c[:-edge, :-edge]
+
+
+def local_similarity(x: np.ndarray, y: np.ndarray, value_range: float) -> np.ndarray:
+    """Similarity index of every full square of two matrices of the same shape."""
+    n = EDGE * EDGE
+    mx, my = box_sums(x, EDGE) / n, box_sums(y, EDGE) / n
+    unbiased = n / (n - 1)
+    vx = (box_sums(x * x, EDGE) / n - mx * mx) * unbiased
+    vy = (box_sums(y * y, EDGE) / n - my * my) * unbiased
+    vxy = (box_sums(x * y, EDGE) / n - mx * my) * unbiased
+    c1, c2 = (K1 * value_range) ** 2, (K2 * value_range) ** 2
+    return ((2 * mx * my + c1) * (2 * vxy + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))
+
+
+def _tile_similarity(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sum and number of the index values whose centre lies in this tile's own part."""
+    method, feature, ti, si = key
+    half = EDGE // 2
+    nt, ns = int(pdf["nt"].iloc[0]), int(pdf["ns"].iloc[0])
+    # Positions from 0; the halo of half cells is cut off at the matrix edge.
+    t0, s0 = max(ti * TILE - half, 0), max(si * TILE - half, 0)
+    t1, s1 = min((ti + 1) * TILE + half, nt), min((si + 1) * TILE + half, ns)
+    total, n = 0.0, 0
+    if t1 - t0 >= EDGE and s1 - s0 >= EDGE:
+        x, y = np.zeros((t1 - t0, s1 - s0)), np.zeros((t1 - t0, s1 - s0))
+        at = (pdf["t"].to_numpy() - t0, pdf["s"].to_numpy() - s0)
+        x[at], y[at] = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        index = local_similarity(x, y, float(pdf["value_range"].iloc[0]))
+        total, n = float(index.sum()), index.size
+    return pd.DataFrame([[method, feature, total, n]], columns=["method", "Feature", "total", "n"])
+
+
+def _with_halo(position, count, half: int):
+    """Tiles that need a cell at this position: its own and, next to a border, the neighbours inside the matrix."""
+    tiles = F.array(position, F.greatest(position - half, F.lit(0)), F.least(position + half, count - 1))
+    return F.explode(F.array_distinct(F.transform(tiles, lambda p: F.floor(p / TILE).cast("int"))))
+
+
 def ssim(truth: DataFrame, m: DataFrame) -> DataFrame:
     """Mean structural similarity of the Date x Station matrices per (method, Feature).
 
-    Unknown cells count as 0. Null when a side has 7 cells or fewer or all values are equal. The 7 x 7 mean
-    is two 7-cell sums: along time (cut into chunks), then across the stations of a Date.
-    Expects the regular panel, where every station has a row for every Date.
+    Unknown cells count as 0. Null when a side has 7 cells or fewer or all values are equal. The matrices are
+    cut into square tiles that overlap by half a window, so the work per task is bounded whatever the
+    length of the series or the number of stations, and cells are shuffled once.
     """
     from panelfill.operators.score import align_to_truth
     half = EDGE // 2
-    n_cells = EDGE * EDGE
-    placed = date_ordinal(truth, SERIES, out="_t", total="_nt").select(*CELL, "_t", "_nt")
     zero = F.lit(0.0)
-    pairs = (align_to_truth(truth, m)
-             .select("method", *CELL, F.coalesce("truth", zero).alias("x"), F.coalesce("fill", zero).alias("y"))
-             .join(placed, CELL))
+    # Positions come from the short lists of dates and stations, not from the cells.
+    dates = date_ordinal(truth.select("Feature", "Date").distinct(), ["Feature"], out="t", total="nt")
+    by_name = W.partitionBy("Feature")
+    stations = truth.select("Feature", "Station").distinct().select(
+        "Feature", "Station", F.row_number().over(by_name.orderBy("Station")).alias("s"),
+        F.count(F.lit(1)).over(by_name).alias("ns"))
+    pairs = align_to_truth(truth, m).select(
+        "method", *CELL, F.coalesce("truth", zero).alias("x"), F.coalesce("fill", zero).alias("y"))
     span = pairs.groupBy("method", "Feature").agg(
-        (F.greatest(F.max("x"), F.max("y")) - F.least(F.min("x"), F.min("y"))).alias("_range"))
-    moments = pairs.withColumns({
-        "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")})
-    sums = ["x", "y", "xx", "yy", "xy"]
-    along_time = sliding_sums(moments, ["method", *SERIES], "_t", sums, half)
-    kept = along_time.where(F.col("_t").between(half + 1, F.col("_nt") - half))
-    row = W.partitionBy("method", "Feature", "Date")
-    near = row.orderBy("Station").rowsBetween(-half, half)
-    both = kept.select(
-        "method", "Feature", "_nt",
-        F.row_number().over(row.orderBy("Station")).alias("_s"), F.count(F.lit(1)).over(row).alias("_ns"),
-        *[(F.sum(c).over(near) / n_cells).alias(c) for c in sums])
-    inner = both.where((F.col("_s") > half) & (F.col("_s") <= F.col("_ns") - half)
-                       & (F.col("_ns") > EDGE) & (F.col("_nt") > EDGE))
-    # The range table has one row per (method, feature); no hint, so its measured size decides the join.
-    ranged = inner.join(span.where(F.col("_range") > 0), ["method", "Feature"])
-    x, y = F.col("x"), F.col("y")
-    unbiased = n_cells / (n_cells - 1)
-    vx = (F.col("xx") - x * x) * unbiased
-    vy = (F.col("yy") - y * y) * unbiased
-    vxy = (F.col("xy") - x * y) * unbiased
-    c1 = F.pow(F.col("_range") * K1, 2)
-    c2 = F.pow(F.col("_range") * K2, 2)
-    index = ((2 * x * y + c1) * (2 * vxy + c2)) / ((x * x + y * y + c1) * (vx + vy + c2))
-    return ranged.groupBy("method", "Feature").agg(F.avg(index).alias("SSIM"))
+        (F.greatest(F.max("x"), F.max("y")) - F.least(F.min("x"), F.min("y"))).alias("value_range"))
+    placed = (pairs.join(dates, ["Feature", "Date"]).join(stations, ["Feature", "Station"])
+              .where((F.col("nt") > EDGE) & (F.col("ns") > EDGE))
+              .join(span.where(F.col("value_range") > 0), ["method", "Feature"])
+              .withColumns({"t": F.col("t") - 1, "s": F.col("s") - 1}))
+    tiled = (placed.withColumn("ti", _with_halo(F.col("t"), F.col("nt"), half))
+             .withColumn("si", _with_halo(F.col("s"), F.col("ns"), half)))
+    parts = tiled.groupBy("method", "Feature", "ti", "si").applyInPandas(
+        _tile_similarity, "method string, Feature string, total double, n bigint")
+    sizes = placed.groupBy("method", "Feature").agg(
+        ((F.max("nt") - EDGE + 1) * (F.max("ns") - EDGE + 1)).alias("squares"))
+    # Squares in tiles without any cell compare 0 with 0, which scores 1.
+    return (parts.groupBy("method", "Feature").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+            .join(sizes, ["method", "Feature"])
+            .select("method", "Feature",
+                    ((F.col("total") + (F.col("squares") - F.col("n"))) / F.col("squares")).alias("SSIM")))
 
 
 # --- warping distance -------------------------------------------------------------------------------

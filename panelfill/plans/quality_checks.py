@@ -32,6 +32,7 @@ def column_statistics(spark, sf):
 
 def _finding(check: str, column: str, level: str, observed: str, threshold: str = "NULL") -> str:
     name = f"'{column}'" if column else "NULL"
+    observed = observed if "(" in observed and not observed.startswith("round(") or "count" in observed else f"max({observed})"
     return (f"SELECT '{check}' AS \"check\", {name} AS \"column\", '{level}' AS level, round(({observed})::DOUBLE, 6) + 0.0 AS observed, "
             f"({threshold})::DOUBLE AS threshold FROM t")
 

@@ -8,11 +8,13 @@ from panelfill.functions.keys import SERIES
 from panelfill.operators import fill, reshape, score, similarity
 from panelfill.plans import testbed as tb
 from panelfill.plans.catalog import query, r, rounded
+from panelfill.sources.storage import stored
 
 
 def _inputs(spark, sf):
-    p = tb.prepared(spark, sf)
-    return p, fill.run_methods(p, with_truth=True)
+    """The prepared panel and its fills, written out between the steps: scoring reads both several times."""
+    p = stored(tb.prepared(spark, sf), "prepared")
+    return p, stored(fill.run_methods(p, with_truth=True), "fills")
 
 
 @query("series_scores", f"SELECT method, Station, Feature, {r('RMSE')}, {r('MAE')}, {r('MAPE')}, {r('R2')}, {r('cosine_similarity')} FROM series_scores")

@@ -130,7 +130,7 @@ def tuning_target(spark, sf):
 
 
 @query("sample_split", "SELECT l_orderkey, l_linenumber, k <= n - ceil(round(n * 0.2, 9)) AS is_train FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '43', "
-       "l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR))) AS k, count(*) OVER () AS n FROM (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY "
+       "l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR))) AS k, count(*) OVER () AS n FROM (SELECT * FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) ORDER BY "
        "md5(concat_ws('|', '42', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR)) LIMIT 5000))")
 def sample_split(spark, sf):
     rows = tb.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()

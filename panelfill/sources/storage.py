@@ -26,9 +26,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Write the table to the shared folder and go on from there, so that a lost executor costs one task."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write the table to the shared folder and go on from the files.
+
+    This cuts the lineage, computes the input once however often the result is read, survives lost executors,
+    and keeps column pruning and filter pushdown for later readers.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
