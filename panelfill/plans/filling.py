@@ -63,18 +63,18 @@ _KNN = "SELECT Date, Station, Feature, round(Value, 6) + 0.0 AS Value, missing,
 
 @query("filled_knn", _KNN, **_knn_sql("prepared", 10, "uniform"))
 def filled_knn(spark, sf):
-    return rounded(neighbours.impute_knn(tb.prepared(spark, sf)))
+    return rounded(neighbours.impute_knn(tb.working_set(spark, sf)))
 
 
 @query("filled_knn_weighted", _KNN, **_knn_sql("group_prepared", 5, "distance"))
 def filled_knn_weighted(spark, sf):
-    return rounded(neighbours.impute_knn(tb.group_prepared(spark, sf), k=5, weights="distance", tile_rows=100))
+    return rounded(neighbours.impute_knn(tb.group_working_set(spark, sf), k=5, weights="distance", tile_rows=100))
 
 
 @query("nearest_dates", "SELECT Date, Station, Feature, count(*) AS n, round(min(dist), 6) + 0.0 AS nearest, round(max(dist), 6) + 0.0 AS furthest "
        "FROM ranked WHERE k <= 10 GROUP BY Date, Station, Feature", **_knn_sql("group_prepared", 10, "uniform"))
 def nearest_dates(spark, sf):
-    n = neighbours.nearest(tb.group_prepared(spark, sf), k=10)
+    n = neighbours.nearest(tb.group_working_set(spark, sf), k=10)
     return rounded(n.select(*CELL, F.size("near").cast("bigint").alias("n"), F.col("near")[0]["dist"].alias("nearest"),
                             F.element_at("near", -1)["dist"].alias("furthest")))
 
@@ -98,30 +98,30 @@ def _tune_sql() -> dict[str, str]:
        "JOIN level l ON l.Station = h.Station AND l.Feature = h.Feature LEFT JOIN tried t ON t.n_neighbors = c.n_neighbors AND t.Date = h.Date "
        "AND t.Station = h.Station AND t.Feature = h.Feature) GROUP BY n_neighbors, weights", **_tune_sql())
 def knn_grid(spark, sf):
-    return rounded(neighbours.tune_knn(tb.group_prepared(spark, sf)))
+    return rounded(neighbours.tune_knn(tb.group_working_set(spark, sf)))
 
 
 
 
 @query("filled_chained")
 def filled_chained(spark, sf):
-    return rounded(chained.impute_chained(tb.prepared(spark, sf), by="Station"))
+    return rounded(chained.impute_chained(tb.working_set(spark, sf), by="Station"))
 
 
 @query("filled_boosted_trees")
 def filled_boosted_trees(spark, sf):
-    p = tb.group_prepared(spark, sf)
+    p = tb.group_working_set(spark, sf)
     return rounded(learned.impute_gbt(p, by="Feature", max_iter=2, max_depth=2))
 
 
 @query("boosted_trees_grid")
 def boosted_trees_grid(spark, sf):
-    return learned.tune_gbt(tb.group_prepared(spark, sf), grid={"maxDepth": [2, 3], "maxIter": [2, 4]})
+    return learned.tune_gbt(tb.group_working_set(spark, sf), grid={"maxDepth": [2, 3], "maxIter": [2, 4]})
 
 
 @query("filled_low_rank")
 def filled_low_rank(spark, sf):
-    return rounded(learned.impute_als(tb.prepared(spark, sf), rank=3, max_iter=5))
+    return rounded(learned.impute_als(tb.working_set(spark, sf), rank=3, max_iter=5))
 
 
 @query("filled_by_plug_in", "SELECT Date, Station, Feature, round(Value, 6) + 0.0 AS Value, missing, "

@@ -13,7 +13,7 @@ from panelfill.sources.storage import stored
 
 def _inputs(spark, sf):
     """The prepared panel and its fills, written out between the steps: scoring reads both several times."""
-    p = stored(tb.prepared(spark, sf), "prepared")
+    p = tb.working_set(spark, sf)
     return p, stored(fill.run_methods(p, with_truth=True), "fills")
 
 

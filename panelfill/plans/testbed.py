@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from panelfill.functions.calendar import hour_start, midnight, monday
 from panelfill.functions.keys import CELL
 from panelfill.operators.clean import regularise
-from panelfill.operators.masks import mask_blocks, mask_mcar
+from panelfill.operators.masks import mask_mcar
+from panelfill.sources.storage import stored
 
 # Return flags stand for sensors whose names trigger the unit rules.
 FEATURES = {"A": "Air_temperature", "N": "Wind_direction", "R": "Relative_humidity"}
@@ -93,6 +94,15 @@ def group_prepared(spark, sf_dir) -> DataFrame:
     return mask_mcar(group_weekly(spark, sf_dir), 0.2, 42)
 
 
+def working_set(spark, sf_dir) -> DataFrame:
+    """The prepared panel as a written table: the hand-over point to methods that read it several times."""
+    return stored(prepared(spark, sf_dir), "working-set")
+
+
+def group_working_set(spark, sf_dir) -> DataFrame:
+    return stored(group_prepared(spark, sf_dir), "working-set")
+
+
 # ---------------------------------------------------------------------------------------------------
 # The same panels in SQL. Each name is a common table expression; the ones a query mentions are put
 # in front of it.
