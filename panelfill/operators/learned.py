@@ -14,7 +14,7 @@ from panelfill.operators.masks import sample_split, tuning_target
 from panelfill.operators.neighbours import row_vectors
 from panelfill.operators.reshape import with_partition
 from panelfill.operators.scale import fit_scaler, scale
-from panelfill.operators.scan import date_ordinal, ordinal
+from panelfill.operators.scan import cell_join, date_ordinal, ordinal
 from panelfill.sources.storage import stored
 
 COLUMNS_PER_STORED_TABLE = 5
@@ -73,7 +73,7 @@ def impute_gbt(p: DataFrame, value: str = "Value_missing", by: str = "Feature",
         filled = mine if filled is None else filled.unionByName(mine)
     cells = (filled.select("Date", F.explode(F.arrays_zip("names", F.col("cur").alias("v"))).alias("c"))
              .select("Date", "c.names.Station", "c.names.Feature", F.col("c.v").alias("_fill")))
-    return (p.join(cells, CELL, "left").withColumn(value, F.coalesce(F.col(value), F.col("_fill"))).select(*p.columns))
+    return (cell_join(p, cells, "left").withColumn(value, F.coalesce(F.col(value), F.col("_fill"))).select(*p.columns))
 
 
 def tune_gbt(p: DataFrame, value: str = "Value_missing", by: str = "Wide", grid: dict | None = None, n_rows: int = 5000,
@@ -128,4 +128,4 @@ def impute_als(p: DataFrame, value: str = "Value_missing", rank: int = 5, reg: f
     guess = model.transform(gaps).join(scaler, SERIES)
     back = F.col("prediction").cast("double") * F.col("scale") + F.col("mean")
     fills = guess.select(*CELL, F.coalesce(F.when(~F.isnan("prediction"), back), F.col("mean")).alias("_fill"))
-    return (p.join(fills, CELL, "left").withColumn(value, F.coalesce(F.col(value), F.col("_fill"))).select(*p.columns))
+    return (cell_join(p, fills, "left").withColumn(value, F.coalesce(F.col(value), F.col("_fill"))).select(*p.columns))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from panelfill.functions.draws import draw_hash, hash_number, uniform
 from panelfill.functions.keys import CELL, SERIES
 from panelfill.operators.pattern import apply_mask
-from panelfill.operators.scan import date_ordinal, ordinal
+from panelfill.operators.scan import cell_join, date_ordinal, ordinal
 
 HASH_BUCKETS = 4096  # rows of one series are ranked in this many independent slices
 
@@ -33,7 +33,7 @@ def mask_per_series(p: DataFrame, frac: float = 0.1, seed: int = 42) -> DataFram
     ranked = ordinal(seen, SERIES, ["_h", "Date"], bucket, "_rank", "_total")
     quota = F.greatest(F.lit(1), F.floor(F.col("_total") * frac))
     hidden = ranked.where(F.col("_rank") <= quota).select(*CELL, F.lit(True).alias("_hit"))
-    return _hide(p.join(hidden, CELL, "left"), F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return _hide(cell_join(p, hidden, "left"), F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def block_length(n_steps: Column, block: int = 10) -> Column:

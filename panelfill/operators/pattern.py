@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from panelfill.functions.keys import CELL, SERIES
 from panelfill.operators.clean import clip_to_range, drop_stations
 from panelfill.operators.gaps import interpolate_interior
+from panelfill.operators.scan import cell_join
 
 
 def missing_mask(p: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def apply_mask(p: DataFrame) -> DataFrame:
 
 def attach_mask(ref: DataFrame, mask: DataFrame) -> DataFrame:
     """Left equi-join on the whole cell key: no key repeats, so no task can become hot."""
-    return ref.join(mask.select(*CELL, "missing"), CELL, "left")
+    return cell_join(ref, mask.select(*CELL, "missing"), "left")
 
 
 def align_union(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -11,13 +11,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelfill.functions.calendar import span_chunk
-from panelfill.functions.keys import SERIES
+from panelfill.functions.keys import CELL, SERIES
 
 SPAN_DAYS = 366
 BEFORE = (W.unboundedPreceding, -1)
 UP_TO = (W.unboundedPreceding, W.currentRow)
 
 
+def led(df: DataFrame, *cols: str) -> DataFrame:
+    """Add the hash of a key as column _lead, to stand first in partition and join keys.
+
+    Spark's sorts compare rows by the first 8 bytes of the first key before anything else. Station names
+    that start alike all fall through to the slow comparison; their hash does not. Rows still only match on the full key.
+    """
+    return df.withColumn("_lead", F.xxhash64(*cols))
+
+
+def cell_join(a: DataFrame, b: DataFrame, how: str = "inner", keys: list[str] = CELL) -> DataFrame:
+    """Equi-join on whole cell keys, sorted by their hash."""
+    return led(a, *keys).join(led(b, *keys), ["_lead", *keys], how).drop("_lead")
+
+
 def ordinal(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column,
             out: str = "_pos", total: str | None = None) -> DataFrame:
     """Exact 1-based row number per key.
@@ -25,18 +39,18 @@ def ordinal(df: DataFrame, keys: list[str], order: list[Column | str], bucket: C
     ``bucket`` must rise with ``order``: rows are numbered inside (key, bucket)
     and shifted by the number of rows in the key's earlier buckets.
     """
-    df = df.withColumn("_bucket", bucket)
-    per_bucket = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    df = led(df.withColumn("_bucket", bucket), *keys, "_bucket")
+    per_bucket = df.groupBy("_lead", *keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w_keys = W.partitionBy(*keys)
     shift = per_bucket.select(
-        *keys, "_bucket",
+        "_lead", *keys, "_bucket",
         F.coalesce(F.sum("_n").over(w_keys.orderBy("_bucket").rowsBetween(*BEFORE)), F.lit(0)).alias("_shift"),
         *([F.sum("_n").over(w_keys).alias(total)] if total else []))
-    local = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
+    local = F.row_number().over(W.partitionBy("_lead", *keys, "_bucket").orderBy(*order))
     return (df.withColumn(out, local)
-            .join(shift, [*keys, "_bucket"])
+            .join(shift, ["_lead", *keys, "_bucket"])
             .withColumn(out, (F.col(out) + F.col("_shift")).cast("bigint"))
-            .drop("_bucket", "_shift"))
+            .drop("_lead", "_bucket", "_shift"))
 
 
 def date_ordinal(df: DataFrame, keys: list[str], out: str = "_pos", total: str | None = None,
@@ -57,7 +71,8 @@ def observed_neighbours(df: DataFrame, value: str = "Value", keys: list[str] = S
     cells = df.withColumn("_chunk", span_chunk(F.col("Date"), span_days))
     for c in [*keys, "_chunk"]:
         cells = cells.where(F.col(c).isNotNull())
-    chunk = W.partitionBy(*keys, "_chunk")
+    cells = led(cells, *keys, "_chunk")
+    chunk = W.partitionBy("_lead", *keys, "_chunk")
     forward = chunk.orderBy("Date")
     upto = forward.rowsBetween(*UP_TO)
     onwards = chunk.orderBy(F.col("Date").desc()).rowsBetween(*UP_TO)
@@ -66,7 +81,7 @@ def observed_neighbours(df: DataFrame, value: str = "Value", keys: list[str] = S
     numbered = numbered.withColumn("_at", F.when(v.isNotNull(), F.col("_rn")))
     rn_seen = F.col("_at")
 
-    edges = (numbered.groupBy(*keys, "_chunk").agg(
+    edges = (numbered.groupBy("_lead", *keys, "_chunk").agg(
         F.count(F.lit(1)).alias("_n"),
         F.count(v).alias("_n_seen"), F.sum(v).alias("_sum"),
         F.min(rn_seen).alias("_first_rn"), F.min_by(v, rn_seen).alias("_first"),
@@ -78,7 +93,7 @@ def observed_neighbours(df: DataFrame, value: str = "Value", keys: list[str] = S
                .withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
                .withColumn("_first_rn", F.col("_first_rn") + F.col("_shift"))
                .withColumn("_last_rn", F.col("_last_rn") + F.col("_shift"))
-               .select(*keys, "_chunk", "_shift",
+               .select("_lead", *keys, "_chunk", "_shift",
                        F.last("_last", True).over(earlier).alias("_in"),
                        F.last("_last_rn", True).over(earlier).alias("_in_pos"),
                        F.last("_first", True).over(later).alias("_out"),
@@ -89,29 +104,10 @@ def observed_neighbours(df: DataFrame, value: str = "Value", keys: list[str] = S
     behind = numbered.select("*", F.last(v, True).over(upto).alias("_prev"), F.last("_at", True).over(upto).alias("_prev_pos"))
     local = behind.select("*", F.last(v, True).over(onwards).alias("_next"), F.last("_at", True).over(onwards).alias("_next_pos"))
     shift = F.col("_shift")
-    return (local.join(carried, [*keys, "_chunk"])
+    return (local.join(carried, ["_lead", *keys, "_chunk"])
             .withColumn("_prev", F.coalesce("_prev", "_in"))
             .withColumn("_prev_pos", F.coalesce(F.col("_prev_pos") + shift, "_in_pos"))
             .withColumn("_next", F.coalesce("_next", "_out"))
             .withColumn("_next_pos", F.coalesce(F.col("_next_pos") + shift, "_out_pos"))
             .withColumn("_pos", F.col("_rn") + shift)
-            .drop("_chunk", "_rn", "_at", "_shift", "_in", "_in_pos", "_out", "_out_pos"))
-
-
-def sliding_sums(df: DataFrame, keys: list[str], pos: str, cols: list[str], half: int,
-                 rows_per_chunk: int = 4096) -> DataFrame:
-    """Replace each column by its sum over positions pos-half .. pos+half.
-
-    Rows next to a chunk border are copied into the neighbouring chunk, so each
-    chunk can be summed on its own. ``pos`` must be a dense row number per key.
-    """
-    p = F.col(pos)
-    home = F.floor((p - 1) / rows_per_chunk)
-    spread = (df.withColumn("_home", home)
-              .withColumn("_chunk", F.explode(F.array_distinct(F.array(
-                  home, F.floor((p - 1 - half) / rows_per_chunk), F.floor((p - 1 + half) / rows_per_chunk))))))
-    near = W.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(-half, half)
-    kept = [c for c in df.columns if c not in cols]
-    return (spread.select(*kept, "_home", "_chunk", *[F.sum(c).over(near).alias(c) for c in cols])
-            .where(F.col("_home") == F.col("_chunk"))
-            .select(*df.columns))
+            .drop("_lead", "_chunk", "_rn", "_at", "_shift", "_in", "_in_pos", "_out", "_out_pos"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelfill.functions.keys import CELL, METRICS, SCORE_COLUMNS, SERIES
 from panelfill.operators.gaps import missing_rate
 from panelfill.operators.scale import unscale
+from panelfill.operators.scan import cell_join
 from panelfill.operators.similarity import dtw, ssim
 
 NOT_A_METHOD = ["mask"]
@@ -19,7 +20,7 @@ def align_to_truth(truth: DataFrame, m: DataFrame) -> DataFrame:
     """
     methods = m.select(F.collect_set("method").alias("x")).scalar()
     index = truth.select(*CELL, F.col("Value").alias("truth")).withColumn("method", F.explode(methods))
-    return index.join(m.select("method", *CELL, F.col("Value").alias("fill")), ["method", *CELL], "left")
+    return cell_join(index, m.select("method", *CELL, F.col("Value").alias("fill")), "left", ["method", *CELL])
 
 
 def score_cells(truth: DataFrame, m: DataFrame, mask: DataFrame | None = None) -> DataFrame:
@@ -30,10 +31,10 @@ def score_cells(truth: DataFrame, m: DataFrame, mask: DataFrame | None = None) -
     """
     base = truth.select(*CELL, F.col("Value").alias("truth"), *(["missing"] if mask is None else []))
     if mask is not None:
-        base = base.join(mask.select(*CELL, "missing"), CELL)
+        base = cell_join(base, mask.select(*CELL, "missing"))
     hidden = base.where(F.col("missing") & F.col("truth").isNotNull()).drop("missing")
     fills = m.where(~F.col("method").isin(NOT_A_METHOD) & F.col("Value").isNotNull())
-    return fills.select("method", *CELL, F.col("Value").alias("fill")).join(hidden, CELL)
+    return cell_join(fills.select("method", *CELL, F.col("Value").alias("fill")), hidden)
 
 
 def unmatched_series(truth: DataFrame, m: DataFrame, mask: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelfill.functions.keys import CELL, SERIES
@@ -23,34 +24,60 @@ def box_sums(a: np.ndarray, edge: int) -> np.ndarray:
     return c[edge:, edge:] - c[:-edge, edge:] - c[edge:, :-edge] + c[:-edge, :-edge]
 
 
-def local_similarity(x: np.ndarray, y: np.ndarray, value_range: float) -> np.ndarray:
-    """Similarity index of every full square of two matrices of the same shape."""
+def local_similarity(x: np.ndarray, x_sums: tuple, y: np.ndarray, value_range: float) -> np.ndarray:
+    """Similarity index of every full square of two matrices of the same shape; x_sums = ``own_moments(x)``."""
     n = EDGE * EDGE
-    mx, my = box_sums(x, EDGE) / n, box_sums(y, EDGE) / n
     unbiased = n / (n - 1)
-    vx = (box_sums(x * x, EDGE) / n - mx * mx) * unbiased
-    vy = (box_sums(y * y, EDGE) / n - my * my) * unbiased
+    mx, vx = x_sums
+    my, vy = own_moments(y)
     vxy = (box_sums(x * y, EDGE) / n - mx * my) * unbiased
     c1, c2 = (K1 * value_range) ** 2, (K2 * value_range) ** 2
     return ((2 * mx * my + c1) * (2 * vxy + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))
 
 
-def _tile_similarity(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sum and number of the index values whose centre lies in this tile's own part."""
-    method, feature, ti, si = key
+def own_moments(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample variance of every full square."""
+    n = EDGE * EDGE
+    mean = box_sums(a, EDGE) / n
+    return mean, (box_sums(a * a, EDGE) / n - mean * mean) * (n / (n - 1))
+
+
+HEADER = -1  # position that marks a tile's header row: one per method, carrying the value range
+
+
+def _tile_similarity(table: pa.Table) -> pa.Table:
+    """Per method the sum and number of the index values whose centre lies in this tile's own part."""
     half = EDGE // 2
-    nt, ns = int(pdf["nt"].iloc[0]), int(pdf["ns"].iloc[0])
-    # Positions from 0; the halo of half cells is cut off at the matrix edge.
-    t0, s0 = max(ti * TILE - half, 0), max(si * TILE - half, 0)
-    t1, s1 = min((ti + 1) * TILE + half, nt), min((si + 1) * TILE + half, ns)
-    total, n = 0.0, 0
-    if t1 - t0 >= EDGE and s1 - s0 >= EDGE:
-        x, y = np.zeros((t1 - t0, s1 - s0)), np.zeros((t1 - t0, s1 - s0))
-        at = (pdf["t"].to_numpy() - t0, pdf["s"].to_numpy() - s0)
-        x[at], y[at] = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        index = local_similarity(x, y, float(pdf["value_range"].iloc[0]))
-        total, n = float(index.sum()), index.size
-    return pd.DataFrame([[method, feature, total, n]], columns=["method", "Feature", "total", "n"])
+    first = {c: table[c][0].as_py() for c in ("Feature", "ti", "si", "nt", "ns")}
+    t0, s0 = max(first["ti"] * TILE - half, 0), max(first["si"] * TILE - half, 0)
+    t1, s1 = min((first["ti"] + 1) * TILE + half, first["nt"]), min((first["si"] + 1) * TILE + half, first["ns"])
+    shape = (t1 - t0, s1 - s0)
+    codes = table["method"].combine_chunks().dictionary_encode()
+    owner = codes.indices.to_numpy(zero_copy_only=False)
+    t, s, v = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("t", "s", "v"))
+    cell = t != HEADER
+
+    def matrix(rows):
+        m = np.zeros(shape)
+        m[t[rows] - t0, s[rows] - s0] = v[rows]
+        return m
+
+    names, totals, counts = [], [], []
+    # The truth is the rows without a method.
+    is_truth = np.isnan(owner) if owner.dtype.kind == "f" else np.zeros(len(t), dtype=bool)
+    if min(shape) >= EDGE:
+        x = matrix(cell & is_truth)
+        x_sums = own_moments(x)
+        for i, name in enumerate(codes.dictionary.to_pylist()):
+            mine = owner == i
+            value_range = v[mine & ~cell]
+            if len(value_range):
+                index = local_similarity(x, x_sums, matrix(mine & cell), float(value_range[0]))
+                names.append(name)
+                totals.append(float(index.sum()))
+                counts.append(index.size)
+    return pa.table({"method": pa.array(names, pa.string()), "Feature": pa.array([first["Feature"]] * len(names), pa.string()),
+                     "total": pa.array(totals, pa.float64()), "n": pa.array(counts, pa.int64())})
 
 
 def _with_halo(position, count, half: int):
@@ -63,10 +90,10 @@ def ssim(truth: DataFrame, m: DataFrame) -> DataFrame:
     """Mean structural similarity of the Date x Station matrices per (method, Feature).
 
     Unknown cells count as 0. Null when a side has 7 cells or fewer or all values are equal. The matrices are
-    cut into square tiles that overlap by half a window, so the work per task is bounded whatever the
-    length of the series or the number of stations, and cells are shuffled once.
+    cut into square tiles that overlap by half a window. Truth and fills meet inside a tile, so there is no join
+    between them, every cell is shuffled once, and a task's work is bounded by the tile whatever the length of the
+    series or the number of stations.
     """
-    from panelfill.operators.score import align_to_truth
     half = EDGE // 2
     zero = F.lit(0.0)
     # Positions come from the short lists of dates and stations, not from the cells.
@@ -75,25 +102,35 @@ def ssim(truth: DataFrame, m: DataFrame) -> DataFrame:
     stations = truth.select("Feature", "Station").distinct().select(
         "Feature", "Station", F.row_number().over(by_name.orderBy("Station")).alias("s"),
         F.count(F.lit(1)).over(by_name).alias("ns"))
-    pairs = align_to_truth(truth, m).select(
-        "method", *CELL, F.coalesce("truth", zero).alias("x"), F.coalesce("fill", zero).alias("y"))
-    span = pairs.groupBy("method", "Feature").agg(
-        (F.greatest(F.max("x"), F.max("y")) - F.least(F.min("x"), F.min("y"))).alias("value_range"))
-    placed = (pairs.join(dates, ["Feature", "Date"]).join(stations, ["Feature", "Station"])
-              .where((F.col("nt") > EDGE) & (F.col("ns") > EDGE))
-              .join(span.where(F.col("value_range") > 0), ["method", "Feature"])
-              .withColumns({"t": F.col("t") - 1, "s": F.col("s") - 1}))
-    tiled = (placed.withColumn("ti", _with_halo(F.col("t"), F.col("nt"), half))
+
+    def placed(df, method):
+        return (df.select(method.alias("method"), *CELL, F.coalesce("Value", zero).alias("v"))
+                .join(dates, ["Feature", "Date"]).join(stations, ["Feature", "Station"])
+                .where((F.col("nt") > EDGE) & (F.col("ns") > EDGE))
+                .select("method", "Feature", (F.col("t") - 1).cast("int").alias("t"), (F.col("s") - 1).alias("s"),
+                        F.col("nt").cast("int").alias("nt"), F.col("ns").cast("int").alias("ns"), "v"))
+
+    x, y = placed(truth, F.lit(None).cast("string")), placed(m, F.col("method"))
+
+    def extremes(df, *by):
+        # A cell without a row counts as 0.
+        full = F.count(F.lit(1)) == F.max(F.col("nt").cast("bigint") * F.col("ns"))
+        lo, hi = F.min("v"), F.max("v")
+        return df.groupBy(*by).agg(F.when(full, lo).otherwise(F.least(lo, zero)).alias("lo"),
+                                   F.when(full, hi).otherwise(F.greatest(hi, zero)).alias("hi"),
+                                   F.max("nt").alias("nt"), F.max("ns").alias("ns"))
+
+    tx, ty = extremes(x, "Feature"), extremes(y, "method", "Feature")
+    ranges = (ty.withColumnsRenamed({"lo": "lo_y", "hi": "hi_y"}).drop("nt", "ns").join(tx, "Feature")
+              .withColumn("v", F.greatest("hi", "hi_y") - F.least("lo", "lo_y")).where(F.col("v") > 0))
+    tiles = lambda n: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / TILE).cast("int")))
+    headers = (ranges.select("method", "Feature", "nt", "ns", "v", tiles("nt").alias("ti"))
+               .select("method", "Feature", F.lit(HEADER).alias("t"), F.lit(HEADER).alias("s"), "nt", "ns", "v", "ti", tiles("ns").alias("si")))
+    cells = (x.unionByName(y).withColumn("ti", _with_halo(F.col("t"), F.col("nt"), half))
              .withColumn("si", _with_halo(F.col("s"), F.col("ns"), half)))
-    parts = tiled.groupBy("method", "Feature", "ti", "si").applyInPandas(
-        _tile_similarity, "method string, Feature string, total double, n bigint")
-    sizes = placed.groupBy("method", "Feature").agg(
-        ((F.max("nt") - EDGE + 1) * (F.max("ns") - EDGE + 1)).alias("squares"))
-    # Squares in tiles without any cell compare 0 with 0, which scores 1.
-    return (parts.groupBy("method", "Feature").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-            .join(sizes, ["method", "Feature"])
-            .select("method", "Feature",
-                    ((F.col("total") + (F.col("squares") - F.col("n"))) / F.col("squares")).alias("SSIM")))
+    parts = (cells.unionByName(headers).groupBy("ti", "si", "Feature")
+             .applyInArrow(_tile_similarity, "method string, Feature string, total double, n bigint"))
+    return parts.groupBy("method", "Feature").agg((F.sum("total") / F.sum("n")).alias("SSIM"))
 
 
 # --- warping distance -------------------------------------------------------------------------------
