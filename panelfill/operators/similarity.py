@@ -80,10 +80,10 @@ def _tile_similarity(table: pa.Table) -> pa.Table:
                      "total": pa.array(totals, pa.float64()), "n": pa.array(counts, pa.int64())})
 
 
-def _with_halo(position, count, half: int):
+def _tiles(position, count, half: int):
     """Tiles that need a cell at this position: its own and, next to a border, the neighbours inside the matrix."""
-    tiles = F.array(position, F.greatest(position - half, F.lit(0)), F.least(position + half, count - 1))
-    return F.explode(F.array_distinct(F.transform(tiles, lambda p: F.floor(p / TILE).cast("int"))))
+    low, high = F.greatest(position - half, F.lit(0)), F.least(position + half, count - 1)
+    return F.explode(F.sequence(F.floor(low / TILE).cast("int"), F.floor(high / TILE).cast("int")))
 
 
 def ssim(truth: DataFrame, m: DataFrame) -> DataFrame:
@@ -96,25 +96,28 @@ def ssim(truth: DataFrame, m: DataFrame) -> DataFrame:
     """
     half = EDGE // 2
     zero = F.lit(0.0)
-    # Positions come from the short lists of dates and stations, not from the cells.
+    # Positions and tiles come from the short lists of dates and stations. A date next to a tile border is listed
+    # for both tiles, so the join with the list also makes the copies the halo needs.
     dates = date_ordinal(truth.select("Feature", "Date").distinct(), ["Feature"], out="t", total="nt")
+    dates = dates.select("Feature", "Date", (F.col("t") - 1).cast("int").alias("t"), F.col("nt").cast("int").alias("nt"))
     by_name = W.partitionBy("Feature")
     stations = truth.select("Feature", "Station").distinct().select(
-        "Feature", "Station", F.row_number().over(by_name.orderBy("Station")).alias("s"),
-        F.count(F.lit(1)).over(by_name).alias("ns"))
+        "Feature", "Station", (F.row_number().over(by_name.orderBy("Station")) - 1).alias("s"),
+        F.count(F.lit(1)).over(by_name).cast("int").alias("ns"))
+    dates = dates.where(F.col("nt") > EDGE).withColumn("ti", _tiles(F.col("t"), F.col("nt"), half))
+    stations = stations.where(F.col("ns") > EDGE).withColumn("si", _tiles(F.col("s"), F.col("ns"), half))
 
     def placed(df, method):
         return (df.select(method.alias("method"), *CELL, F.coalesce("Value", zero).alias("v"))
                 .join(dates, ["Feature", "Date"]).join(stations, ["Feature", "Station"])
-                .where((F.col("nt") > EDGE) & (F.col("ns") > EDGE))
-                .select("method", "Feature", (F.col("t") - 1).cast("int").alias("t"), (F.col("s") - 1).alias("s"),
-                        F.col("nt").cast("int").alias("nt"), F.col("ns").cast("int").alias("ns"), "v"))
+                .select("method", "Feature", "t", "s", "nt", "ns", "v", "ti", "si"))
 
     x, y = placed(truth, F.lit(None).cast("string")), placed(m, F.col("method"))
 
     def extremes(df, *by):
-        # A cell without a row counts as 0.
-        full = F.count(F.lit(1)) == F.max(F.col("nt").cast("bigint") * F.col("ns"))
+        # A cell without a row counts as 0. Copies in neighbouring tiles are not counted.
+        home = (F.floor(F.col("t") / TILE) == F.col("ti")) & (F.floor(F.col("s") / TILE) == F.col("si"))
+        full = F.count_if(home) == F.max(F.col("nt").cast("bigint") * F.col("ns"))
         lo, hi = F.min("v"), F.max("v")
         return df.groupBy(*by).agg(F.when(full, lo).otherwise(F.least(lo, zero)).alias("lo"),
                                    F.when(full, hi).otherwise(F.greatest(hi, zero)).alias("hi"),
@@ -126,9 +129,7 @@ def ssim(truth: DataFrame, m: DataFrame) -> DataFrame:
     tiles = lambda n: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / TILE).cast("int")))
     headers = (ranges.select("method", "Feature", "nt", "ns", "v", tiles("nt").alias("ti"))
                .select("method", "Feature", F.lit(HEADER).alias("t"), F.lit(HEADER).alias("s"), "nt", "ns", "v", "ti", tiles("ns").alias("si")))
-    cells = (x.unionByName(y).withColumn("ti", _with_halo(F.col("t"), F.col("nt"), half))
-             .withColumn("si", _with_halo(F.col("s"), F.col("ns"), half)))
-    parts = (cells.unionByName(headers).groupBy("ti", "si", "Feature")
+    parts = (x.unionByName(y).unionByName(headers).groupBy("ti", "si", "Feature")
              .applyInArrow(_tile_similarity, "method string, Feature string, total double, n bigint"))
     return parts.groupBy("method", "Feature").agg((F.sum("total") / F.sum("n")).alias("SSIM"))
 
@@ -235,8 +236,8 @@ def dtw(cells: DataFrame, band: int = 10, keys=("method", *SERIES)) -> DataFrame
 
     last_chunk = chunk(F.col("_total") - 1)
     # Rows next to a border also serve the neighbouring chunk, but no chunk outside the series.
-    spread = placed.withColumn("chunk", F.explode(F.array_distinct(F.array(
-        chunk(p), F.greatest(chunk(p - band), F.lit(0)), F.least(chunk(p + band), last_chunk)))))
+    spread = placed.withColumn("chunk", F.explode(F.sequence(
+        chunk(F.greatest(p - band, F.lit(0))), F.least(chunk(p + band), last_chunk))))
     cell = F.struct(F.col("_pos").alias("pos"), "truth", "fill")
     packed = spread.groupBy(*keys, "_total", "chunk").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     # Positions are dense, so the first one places the whole chunk.
