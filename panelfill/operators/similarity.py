@@ -42,27 +42,30 @@ def own_moments(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, (box_sums(a * a, EDGE) / n - mean * mean) * (n / (n - 1))
 
 
-HEADER = -1  # position that marks a tile's header row: one per method, carrying the value range
+# Header rows of a tile carry these in place of a time position, and their number as the value.
+RANGE, N_DATES, N_STATIONS = -1, -2, -3
 
 
 def _tile_similarity(table: pa.Table) -> pa.Table:
     """Per method the sum and number of the index values whose centre lies in this tile's own part."""
     half = EDGE // 2
-    first = {c: table[c][0].as_py() for c in ("Feature", "ti", "si", "nt", "ns")}
-    t0, s0 = max(first["ti"] * TILE - half, 0), max(first["si"] * TILE - half, 0)
-    t1, s1 = min((first["ti"] + 1) * TILE + half, first["nt"]), min((first["si"] + 1) * TILE + half, first["ns"])
-    shape = (t1 - t0, s1 - s0)
+    first = {c: table[c][0].as_py() for c in ("Feature", "ti", "si")}
     codes = table["method"].combine_chunks().dictionary_encode()
     owner = codes.indices.to_numpy(zero_copy_only=False)
     t, s, v = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("t", "s", "v"))
-    cell = t != HEADER
+    cell = t >= 0
+    names, totals, counts = [], [], []
+    size = [v[t == kind] for kind in (N_DATES, N_STATIONS)]
+    # No header: all values of the feature are equal in every method, so there is nothing to compare.
+    nt, ns = (int(n[0]) if len(n) else 0 for n in size)
+    t0, s0 = max(first["ti"] * TILE - half, 0), max(first["si"] * TILE - half, 0)
+    shape = (min((first["ti"] + 1) * TILE + half, nt) - t0, min((first["si"] + 1) * TILE + half, ns) - s0)
 
     def matrix(rows):
         m = np.zeros(shape)
         m[t[rows] - t0, s[rows] - s0] = v[rows]
         return m
 
-    names, totals, counts = [], [], []
     # The truth is the rows without a method.
     is_truth = np.isnan(owner) if owner.dtype.kind == "f" else np.zeros(len(t), dtype=bool)
     if min(shape) >= EDGE:
@@ -70,7 +73,7 @@ def _tile_similarity(table: pa.Table) -> pa.Table:
         x_sums = own_moments(x)
         for i, name in enumerate(codes.dictionary.to_pylist()):
             mine = owner == i
-            value_range = v[mine & ~cell]
+            value_range = v[mine & (t == RANGE)]
             if len(value_range):
                 index = local_similarity(x, x_sums, matrix(mine & cell), float(value_range[0]))
                 names.append(name)
@@ -127,9 +130,14 @@ def ssim(truth: DataFrame, m: DataFrame) -> DataFrame:
     ranges = (ty.withColumnsRenamed({"lo": "lo_y", "hi": "hi_y"}).drop("nt", "ns").join(tx, "Feature")
               .withColumn("v", F.greatest("hi", "hi_y") - F.least("lo", "lo_y")).where(F.col("v") > 0))
     tiles = lambda n: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / TILE).cast("int")))
-    headers = (ranges.select("method", "Feature", "nt", "ns", "v", tiles("nt").alias("ti"))
-               .select("method", "Feature", F.lit(HEADER).alias("t"), F.lit(HEADER).alias("s"), "nt", "ns", "v", "ti", tiles("ns").alias("si")))
-    parts = (x.unionByName(y).unionByName(headers).groupBy("ti", "si", "Feature")
+    kinds = F.array(*[F.struct(F.lit(kind).alias("t"), value.cast("double").alias("v")) for kind, value in (
+        (RANGE, F.col("v")), (N_DATES, F.col("nt")), (N_STATIONS, F.col("ns")))])
+    headers = (ranges.select("method", "Feature", "ns", kinds.alias("kinds"), tiles("nt").alias("ti"))
+               .select("method", "Feature", "kinds", "ti", tiles("ns").alias("si"))
+               .select("method", "Feature", "ti", "si", F.explode("kinds").alias("h"))
+               .select("method", "Feature", F.col("h.t").alias("t"), F.lit(RANGE).alias("s"), F.col("h.v").alias("v"), "ti", "si"))
+    cells = x.unionByName(y).drop("nt", "ns")
+    parts = (cells.unionByName(headers).groupBy("ti", "si", "Feature")
              .applyInArrow(_tile_similarity, "method string, Feature string, total double, n bigint"))
     return parts.groupBy("method", "Feature").agg((F.sum("total") / F.sum("n")).alias("SSIM"))
 

@@ -99,6 +99,11 @@ def working_set(spark, sf_dir) -> DataFrame:
     return stored(prepared(spark, sf_dir), "working-set")
 
 
+def daily_table(spark, sf_dir) -> DataFrame:
+    """The daily panel as a written table, for operators that scan it more than once."""
+    return stored(daily(spark, sf_dir), "daily")
+
+
 def group_working_set(spark, sf_dir) -> DataFrame:
     return stored(group_prepared(spark, sf_dir), "working-set")
 

@@ -27,7 +27,7 @@ BLOCKS = {"blocks": "SELECT Station, Feature, pd AS after, Date AS before, pos -
 
 @query("gap_blocks", "SELECT Station, Feature, after, before, block_size FROM blocks", **BLOCKS)
 def gap_blocks(spark, sf):
-    return gaps.gap_blocks(tb.daily(spark, sf))
+    return gaps.gap_blocks(tb.daily_table(spark, sf))
 
 
 @query("gap_report", "SELECT s.Station, s.Feature, s.missing_values, coalesce(b.missing_blocks, 0) AS missing_blocks, "
@@ -36,7 +36,7 @@ def gap_blocks(spark, sf):
        "(SELECT Station, Feature, count(*) AS missing_blocks, max(block_size) AS longest_block, sum(block_size)::BIGINT AS missing_in_blocks, "
        "count(DISTINCT block_size) AS n_sizes FROM blocks GROUP BY ALL) b ON b.Station = s.Station AND b.Feature = s.Feature", **BLOCKS)
 def gap_report(spark, sf):
-    rep = gaps.gap_report(tb.daily(spark, sf))
+    rep = gaps.gap_report(tb.daily_table(spark, sf))
     return rep.withColumn("n_sizes", F.coalesce(F.size("block_sizes"), F.lit(0)).cast("bigint")).drop("block_sizes")
 
 
@@ -61,7 +61,7 @@ NUMBERED = {"numbered": f"SELECT *, row_number() OVER ({ORDER}) - 1 AS i, count(
 
 @query("windows_full", f"SELECT Date, Station, Feature, {V}, i // 96 AS window_id, (i % 96)::INT AS step FROM numbered WHERE i // 96 < n // 96", **NUMBERED)
 def windows_full(spark, sf):
-    return rounded(windows.windowed(tb.daily(spark, sf)))
+    return rounded(windows.windowed(tb.daily_table(spark, sf)))
 
 
 PADDED = {"padded": "SELECT Date, Station, Feature, Value, i // 96 AS window_id, (i % 96)::INT AS step, false AS is_pad FROM numbered UNION ALL "
@@ -71,18 +71,18 @@ PADDED = {"padded": "SELECT Date, Station, Feature, Value, i // 96 AS window_id,
 
 @query("windows_padded", f"SELECT Date, Station, Feature, {V}, window_id, step, is_pad FROM padded", **NUMBERED, **PADDED)
 def windows_padded(spark, sf):
-    return rounded(windows.windowed(tb.daily(spark, sf), tail="pad"))
+    return rounded(windows.windowed(tb.daily_table(spark, sf), tail="pad"))
 
 
 @query("padding_removed", f"SELECT Date, Station, Feature, {V}, i // 96 AS window_id, (i % 96)::INT AS step FROM numbered", **NUMBERED)
 def padding_removed(spark, sf):
-    return rounded(windows.drop_padding(windows.windowed(tb.daily(spark, sf), tail="pad")))
+    return rounded(windows.drop_padding(windows.windowed(tb.daily_table(spark, sf), tail="pad")))
 
 
 @query("windows_packed", "SELECT Station, Feature, i // 96 AS window_id, count(*) AS n_steps, count(Value) AS n_seen, round(first(Value ORDER BY i), 6) + 0.0 AS first_value, "
        "round(last(Value ORDER BY i), 6) + 0.0 AS last_value FROM numbered WHERE i // 96 < n // 96 GROUP BY ALL", **NUMBERED)
 def windows_packed(spark, sf):
-    w = windows.pack_windows(windows.windowed(tb.daily(spark, sf)))
+    w = windows.pack_windows(windows.windowed(tb.daily_table(spark, sf)))
     return rounded(w.select(*SERIES, "window_id", F.size("values").cast("bigint").alias("n_steps"),
                             F.size(F.array_compact("values")).cast("bigint").alias("n_seen"),
                             F.col("values")[0].alias("first_value"), F.element_at("values", -1).alias("last_value")))
@@ -91,7 +91,7 @@ def windows_packed(spark, sf):
 @query("window_tensor", "SELECT i // 96 AS window_id, 96::BIGINT AS n_steps, count(*) // 96 AS n_series, count(Value) AS n_seen FROM numbered "
        "WHERE i // 96 < n // 96 GROUP BY ALL", **NUMBERED)
 def window_tensor(spark, sf):
-    t = windows.pack_tensor(windows.windowed(tb.daily(spark, sf)))
+    t = windows.pack_tensor(windows.windowed(tb.daily_table(spark, sf)))
     return t.select("window_id", F.size("X").cast("bigint").alias("n_steps"), F.size(F.col("X")[0]).cast("bigint").alias("n_series"),
                     F.size(F.array_compact(F.flatten("X"))).cast("bigint").alias("n_seen"))
 
@@ -99,7 +99,7 @@ def window_tensor(spark, sf):
 @query("windows_split", "SELECT window_id, CASE WHEN window_id < floor(m * 0.7) THEN 'train' WHEN window_id < floor(m * 0.85) THEN 'val' ELSE 'test' END AS split, "
        "count(*) AS cells FROM (SELECT *, i // 96 AS window_id, n // 96 AS m FROM numbered WHERE i // 96 < n // 96) GROUP BY ALL", **NUMBERED)
 def windows_split(spark, sf):
-    w = windows.chrono_split(windows.windowed(tb.daily(spark, sf)))
+    w = windows.chrono_split(windows.windowed(tb.daily_table(spark, sf)))
     return w.groupBy("window_id", "split").agg(F.count(F.lit(1)).alias("cells"))
 
 
