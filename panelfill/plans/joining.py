@@ -59,7 +59,7 @@ def absent_combos(spark, sf):
 
 @query("complete_pattern", "SELECT Date, Station, Feature, missing FROM full_mask", **ALL)
 def complete_pattern(spark, sf):
-    return pattern.complete_pattern(pattern.missing_mask(tb.weekly_org(spark, sf)))
+    return pattern.complete_pattern(pattern.missing_mask(tb.as_table(tb.weekly_org(spark, sf))))
 
 
 _MAP = {"mapping": "SELECT o.Station, n.Station AS Station_ref FROM "
@@ -107,12 +107,14 @@ def aligned_union(spark, sf):
        near_ref=tb.neighbours_sql("weekly", "Value"), **ALL)
 def transferred_pattern(spark, sf):
     """The panel with known values takes over the other panel's gaps, absent sensors included."""
-    return rounded(pattern.transfer_pattern(tb.weekly_org(spark, sf), tb.weekly(spark, sf))[1])
+    org, ref = tb.as_table(tb.weekly_org(spark, sf)), tb.as_table(tb.weekly(spark, sf))
+    return rounded(pattern.transfer_pattern(org, ref)[1])
 
 
 @query("transferred_mask", "SELECT Date, Station, Feature, missing FROM full_mask", **ALL)
 def transferred_mask(spark, sf):
-    return pattern.transfer_pattern(tb.weekly_org(spark, sf), tb.weekly(spark, sf))[0]
+    org, ref = tb.as_table(tb.weekly_org(spark, sf)), tb.as_table(tb.weekly(spark, sf))
+    return pattern.transfer_pattern(org, ref)[0]
 
 
 @query("aligned_to_truth", "SELECT k.method, p.Date, p.Station, p.Feature, round(p.Value, 6) + 0.0 AS truth, round(m.Value, 6) + 0.0 AS fill FROM prepared p "

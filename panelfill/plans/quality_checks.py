@@ -58,7 +58,7 @@ _PANEL_CHECKS = " UNION ALL ".join([
 
 @query("panel_validated", f"SELECT 'hourly' AS dataset, * FROM ({_PANEL_CHECKS})", t="SELECT * FROM hourly")
 def panel_validated(spark, sf):
-    return rounded(quality.validate(tb.hourly(spark, sf), "hourly", index="Date").drop("message"))
+    return rounded(quality.validate(tb.as_table(tb.hourly(spark, sf)), "hourly", index="Date").drop("message"))
 
 
 _EVENT_CHECKS = " UNION ALL ".join([
@@ -107,7 +107,7 @@ def duplicate_keys(spark, sf):
 
 
 def _all_results(spark, sf):
-    tables = {"weekly": tb.weekly(spark, sf), "weekly_org": tb.weekly_org(spark, sf),
+    tables = {"weekly": tb.as_table(tb.weekly(spark, sf)), "weekly_org": tb.as_table(tb.weekly_org(spark, sf)),
               "region": tb.table(spark, sf, "region"), "supplier": tb.table(spark, sf, "supplier")}
     return quality.validate_all(tables, index="Date")
 

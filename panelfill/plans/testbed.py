@@ -99,9 +99,13 @@ def working_set(spark, sf_dir) -> DataFrame:
     return stored(prepared(spark, sf_dir), "working-set")
 
 
+def as_table(panel) -> DataFrame:
+    """A panel written out once, for operators that scan it more than once."""
+    return stored(panel, "panel")
+
+
 def daily_table(spark, sf_dir) -> DataFrame:
-    """The daily panel as a written table, for operators that scan it more than once."""
-    return stored(daily(spark, sf_dir), "daily")
+    return as_table(daily(spark, sf_dir))
 
 
 def group_working_set(spark, sf_dir) -> DataFrame:
