@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from panelfill.functions.keys import SERIES
 from panelfill.operators import fill, reshape, score, similarity
 from panelfill.plans import testbed as tb
-from panelfill.plans.catalog import query, r, rounded
+from panelfill.plans.catalog import ORACLES, off_the_edge, query, r, rounded
+from panelfill.plans.testbed import with_ctes
 from panelfill.sources.storage import stored
 
 
@@ -37,14 +38,26 @@ DTW = {
     "lists": "SELECT method, Station, Feature, any_value(n) AS n, list(truth ORDER BY i) AS x, list(fill ORDER BY i) AS y FROM ordered GROUP BY ALL",
 }
 _INF = "'infinity'::DOUBLE"
+_WIDTH = 2 * BAND + 1
+_J = f"(i + 1 - {BAND} + e[1]::BIGINT)"
+_CELL = (f"CASE WHEN {_J} < 1 OR {_J} > n THEN {_INF} ELSE abs(x[i + 1] - y[{_J}]) + least(d[e[1]::BIGINT + 1], "
+         f"coalesce(d[e[1]::BIGINT + 2], {_INF}), coalesce(acc[e[1]::BIGINT], {_INF})) END")
 _WALK = (
-    "WITH RECURSIVE {ctes}, walk AS (SELECT method, Station, Feature, n, x, y, 0::BIGINT AS i, "
-    f"list_transform(range(0, {2 * BAND + 1}), o -> CASE WHEN o = {BAND} THEN 0.0::DOUBLE ELSE {_INF} END) AS d FROM lists UNION ALL "
-    "SELECT method, Station, Feature, n, x, y, i + 1, "
-    f"list_reduce(range(0, {2 * BAND + 1}), (acc, o) -> list_append(acc, CASE WHEN i + 1 - {BAND} + o < 1 OR i + 1 - {BAND} + o > n THEN {_INF} "
-    f"ELSE abs(x[i + 1] - y[i + 1 - {BAND} + o]) + least(d[o + 1], coalesce(d[o + 2], {_INF}), coalesce(acc[o], {_INF})) END), []::DOUBLE[]) "
-    "FROM walk WHERE i < n) "
-    f"SELECT method, Station, Feature, round(d[{BAND + 1}], 6) + 0.0 AS dtw_distance FROM walk WHERE i = n")
+    f", walk AS (SELECT method, Station, Feature, n, x, y, 0::BIGINT AS i, "
+    f"list_transform(range(0, {_WIDTH}), lambda o: CASE WHEN o = {BAND} THEN 0::DOUBLE ELSE {_INF} END) AS d FROM lists UNION ALL "
+    f"SELECT method, Station, Feature, n, x, y, i + 1, list_reduce(list_transform(range(0, {_WIDTH}), lambda o: [o::DOUBLE]), "
+    f"lambda acc, e: list_append(acc, {_CELL}), []::DOUBLE[]) FROM walk WHERE i < n)")
+
+
+def _recursive(tail: str, sources: str) -> str:
+    """The common table expressions the sources need, the recursive one, then the statement itself."""
+    head = with_ctes(sources, DTW)[len("WITH"):-len(sources)].rstrip()
+    return off_the_edge(f"WITH RECURSIVE{head}{_WALK} {tail}")
+
+
+_DISTANCE = f"round(d[{BAND + 1}], 6) + 0.0 AS dtw_distance"
+ORACLES["warping_distance"] = _recursive(
+    f"SELECT method, Station, Feature, {_DISTANCE} FROM walk WHERE i = n", "SELECT * FROM lists")
 
 
 @query("warping_distance")
@@ -68,6 +81,16 @@ def score_table(spark, sf):
     return rounded(table_of_scores(spark, sf))
 
 
+_WITH_WARPING = ", ".join(["run", "imputation_method", "partition_method", "station", "s.feature AS feature", r("RMSE"), r("MAE"), r("MAPE"), r("R2"),
+                           r("SSIM"), r("cosine_similarity"), r("missing_rate"), "n_missing_values", "n_total_values",
+                           "false AS scaling", "false AS resample", "NULL::VARCHAR AS resample_freq"])
+ORACLES["score_table_with_warping"] = _recursive(
+    f"SELECT {_WITH_WARPING}, {_DISTANCE} FROM (SELECT run, imputation_method, partition_method, station AS st, station, feature, RMSE, MAE, MAPE, R2, SSIM, "
+    "cosine_similarity, missing_rate, n_missing_values, n_total_values FROM scores) s LEFT JOIN "
+    "(SELECT method, Station AS ws, Feature AS wf, d FROM walk WHERE i = n) w ON w.method = s.imputation_method AND w.ws = s.st AND w.wf = s.feature",
+    "SELECT * FROM lists JOIN scores ON true")
+
+
 @query("score_table_with_warping")
 def score_table_with_warping(spark, sf):
     p, m = _inputs(spark, sf)
