@@ -34,6 +34,11 @@ def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
+def text_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of at most ``limit`` bytes together, so that few of them are Python objects at once."""
+    yield from slices(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) + 1, limit)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Scatter the bits of unsigned 64-bit numbers."""
     x = x ^ (x >> np.uint64(31))

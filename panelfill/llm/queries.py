@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelfill.llm import decontaminate, lexicon_bpe, token_files
+from panelfill.llm import decontaminate, lexicon_bpe, line_crf, token_files
 from panelfill.llm.common import table
 from panelfill.sources.storage import scratch_path
 
@@ -71,3 +71,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = lexicon_bpe.with_ids(docs, decode=True)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    scored = line_crf.with_score(docs, model)
+    return scored.select("doc_id", line_crf.held_out().alias("held_out"), "score", line_crf.predicted().alias("predicted"))
