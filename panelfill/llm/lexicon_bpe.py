@@ -24,8 +24,9 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from panelfill.llm.common import slices
+from panelfill.llm.common import text_slices
 from panelfill.llm.pretokens import BLOCK, Splitter, byte_letters, encoder, ragged
+from panelfill.sources.storage import stored
 
 VOCABULARY = "byte_bpe_50k.json"
 LEXICON_WORDS = 1 << 16
@@ -147,9 +148,9 @@ def frequent_words(docs: DataFrame, size: int = LEXICON_WORDS) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, hashes, counts, words = Splitter(spaced=True), np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
         for batch in batches:
-            texts = [t for t in batch.column("text").to_pylist() if t and splitter.simple(t)]
-            for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), BLOCK):
-                block = "\0".join(texts[lo:hi]) + "\0"
+            column = batch.column("text")
+            for lo, hi in text_slices(column, BLOCK):
+                block = "\0".join(t for t in column.slice(lo, hi - lo).to_pylist() if t and splitter.simple(t)) + "\0"
                 starts, ends, found = splitter.words(splitter.codes(block))
                 own, where, n = np.unique(found, return_index=True, return_counts=True)
                 hashes, back = np.unique(np.concatenate([hashes, own]), return_inverse=True)
@@ -172,7 +173,7 @@ def frequent_words(docs: DataFrame, size: int = LEXICON_WORDS) -> DataFrame:
 
 def compiled_lexicon(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = LEXICON_WORDS) -> bytes:
     """The packed automaton of at most ``size`` words; its size is bounded by ``size`` and not by the documents."""
-    words = [r["word"] for r in frequent_words(docs, size).collect()]
+    words = [r["word"] for r in stored(frequent_words(docs, size), "words").select("word").collect()]
     own = encoder(vocabulary, spaced=True)
     raw = [w.encode() for w in words]
     return Lexicon.compiled({w: i for w, i in zip(raw, own._encode_words(words)) if len(w) <= MAX_WORD}).packed()
@@ -193,8 +194,8 @@ def with_ids(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = LEXICON_
         own = encoder(vocabulary, True, key, lambda: Lexicon.mapped(packed.value))
         back = Decoder(vocabulary) if decode else None
         for batch in batches:
-            texts, at = [t or "" for t in batch.column("text").to_pylist()], 0
-            for sizes, ids in own.encode(texts):
+            at = 0
+            for sizes, ids in own.encode(batch.column("text")):
                 raw = packed_lists(sizes, ids.astype("<u4"))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(at, len(sizes)) for c in names] + [pa.array(sizes.astype(np.int64)), raw]

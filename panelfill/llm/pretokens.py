@@ -15,10 +15,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
-from panelfill.llm.common import SpanHasher, slices
+from panelfill.llm.common import SpanHasher, text_slices
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 LETTER, NUMBER, SPACE, OTHER, END, UNSURE = range(6)
 
 
@@ -105,7 +106,7 @@ class Splitter:
 class WordTable:
     """Token ids by word hash; grows with the words seen by this worker and starts anew beyond ``limit`` words."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1 << 21):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1 << 20):
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -171,10 +172,10 @@ class BlockEncoder:
                 out[i] = [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of consecutive texts: number of ids of each text, and all ids in a row."""
-        for lo, hi in slices(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)), BLOCK):
-            yield self._block(texts[lo:hi])
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of consecutive texts: number of ids of each text, and all ids in a row. A null is an empty text."""
+        for lo, hi in text_slices(texts, BLOCK):
+            yield self._block([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
 
     def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         simple, split = [self.splitter.simple(t) for t in texts], self.splitter

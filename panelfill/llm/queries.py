@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelfill.llm import decontaminate, lexicon_bpe, line_crf, token_files
+from panelfill.llm import decontaminate, lexicon_bpe, line_crf, order_minhash, token_files
 from panelfill.llm.common import table
 from panelfill.sources.storage import scratch_path
 
@@ -79,3 +79,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = line_crf.train(docs, table(spark, sf_dir, "labels"))
     scored = line_crf.with_score(docs, model)
     return scored.select("doc_id", line_crf.held_out().alias("held_out"), "score", line_crf.predicted().alias("predicted"))
+
+
+@query("op10_order_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return order_minhash.with_class(docs).select("doc_id", "class_id")

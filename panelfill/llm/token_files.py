@@ -25,6 +25,7 @@ END_ID = 2
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 PARTITION = 64 << 20
+SMALL = 4_000_000
 SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
 
 
@@ -33,9 +34,8 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID)
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, before = encoder(vocabulary, spaced=False), 0
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             at = 0
-            for sizes, ids in own.encode(texts):
+            for sizes, ids in own.encode(batch.column("text")):
                 n, ends = len(sizes), np.cumsum(sizes)
                 closed = np.insert(ids, ends, end_id).astype(np.int32)
                 bounds = np.concatenate([[0], ends + np.arange(1, n + 1)])
@@ -76,10 +76,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _with_start(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Offsets of whole partitions come from one row per partition; documents never meet in one task."""
+    """Offsets of whole partitions come from one row per partition; documents never meet in one task. That table is
+    broadcast while it has at most ``SMALL`` rows, which stands for 256 TB of text; beyond, Spark picks the join."""
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("_size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("part").alias("_part"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    if files.select("part").distinct().count() <= SMALL:  # one row per partition: a few bytes each
+        offsets = F.broadcast(offsets)
     joined = rows.join(offsets, F.col("part") == F.col("_part"), "left")
     return joined.withColumn("start", F.col("first") + F.col("_offset")).drop("_part", "_offset", "first")
 
