@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelfill.llm import decontaminate, lexicon_bpe, line_crf, order_minhash, token_files
+from panelfill.llm import decontaminate, lexicon_bpe, line_crf, order_minhash, suffix_levels, token_files
 from panelfill.llm.common import table
 from panelfill.sources.storage import scratch_path
 
@@ -85,3 +85,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return order_minhash.with_class(docs).select("doc_id", "class_id")
+
+
+@query("op3_suffix_levels")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_levels.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
