@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelfill.llm import decontaminate, lexicon_bpe, line_crf, order_minhash, suffix_levels, token_files
+from panelfill.llm import (
+    chat, decontaminate, lexicon_bpe, line_crf, order_minhash, pii, quality_rules, suffix_levels, token_files, url_rules)
 from panelfill.llm.common import table
 from panelfill.sources.storage import scratch_path
 
@@ -93,3 +94,79 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.col("n_bytes") - F.octet_length("kept")
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+split_up AS (
+  SELECT row_number() OVER () AS r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+windows AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM split_up WHERE len(w) >= 8)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r),
+measured AS (
+  SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS capitals, length(t) - length(replace(t, '!', '')) AS shouts,
+         length(t) - length(translate(t, '0123456789', '')) AS digits
+  FROM split_up LEFT JOIN repeated USING (r)),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > word_chars OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 100 * n_dup_lines > 30 * n_lines OR 2 * capitals > word_chars OR 10 * shouts > word_chars OR 3 * digits > word_chars
+            OR 10 * len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) < 6 * n_words) AS kept
+FROM based"""
+
+
+@query("op2_quality_rules", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.with_verdict(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP4_SQL = """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
+                  count(*) OVER (PARTITION BY conv_id) AS size FROM turns),
+prefixes AS (SELECT conv_id, place, size, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY place) AS so_far FROM placed),
+texts AS (SELECT conv_id, place, size, CAST(so_far AS VARCHAR) AS so_far FROM prefixes),
+longest AS (SELECT min(conv_id) AS conv_id, place, so_far FROM texts WHERE place = size GROUP BY place, so_far),
+kept AS (SELECT conv_id FROM longest l WHERE NOT EXISTS (
+  SELECT 1 FROM texts p WHERE p.place < p.size AND p.place = l.place AND p.so_far = l.so_far))
+SELECT conv_id, max(size) AS n_turns, CAST((place - 1) // 1024 AS BIGINT) AS part,
+       string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY place) AS text
+FROM placed JOIN kept USING (conv_id) GROUP BY conv_id, part"""
+
+
+@query("op4_chat_formatting", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+OP7_SQL = r"""
+WITH cut AS (SELECT page_id, url, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                                      ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (SELECT page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(verdict, length(r.host || r.path)) AS verdict
+         FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN
+         regexp_matches(lower(url), '://([^/?#]*\.)?spam-farm\.') OR regexp_matches(lower(url), '://([^/?#]*[.-])?cheap-pills?[.-]')
+         OR regexp_matches(lower(url), '://([^/?#]*[.-])?casino([.-]|[0-9])') OR regexp_matches(lower(url), '://([^/?#]*[.-])?(xxx|porn)[.-]')
+         OR regexp_matches(lower(url), '/(redirect|out)\?(.*&)?url=https?(:|%3a)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN fits USING (page_id)"""
+
+
+@query("op7_url_filter", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.with_verdict(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.counted("base", kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
