@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from panelfill.llm.common import SpanHasher, text_slices
 
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 LETTER, NUMBER, SPACE, OTHER, END, UNSURE = range(6)
 
 
@@ -106,7 +106,7 @@ class Splitter:
 class WordTable:
     """Token ids by word hash; grows with the words seen by this worker and starts anew beyond ``limit`` words."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1 << 19):
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -209,3 +209,8 @@ def encoder(name: str, spaced: bool, key: str = "", lexicon: Callable | None = N
         path = name if os.path.isabs(name) else public_tokenizers.path(name)
         kept[name, spaced, key] = BlockEncoder(path, spaced, lexicon() if lexicon else None)
     return kept[name, spaced, key]
+
+
+def release() -> None:
+    """Let this worker's encoder go."""
+    vars(sys).pop("_panelfill_encoders", None)

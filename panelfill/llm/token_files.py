@@ -18,13 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from panelfill.llm.pretokens import encoder
+from panelfill.llm.pretokens import encoder, release
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-ROW_GROUP = 32 << 20
+ROW_GROUP = 16 << 20
 PAGE = 256 << 10
-PARTITION = 64 << 20
+PARTITION = 32 << 20
 SMALL = 4_000_000
 SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
 
@@ -77,7 +77,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def _with_start(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Offsets of whole partitions come from one row per partition; documents never meet in one task. That table is
-    broadcast while it has at most ``SMALL`` rows, which stands for 256 TB of text; beyond, Spark picks the join."""
+    broadcast while it has at most ``SMALL`` rows, which stands for 128 TB of text; beyond, Spark picks the join."""
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("_size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("part").alias("_part"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
@@ -90,6 +90,7 @@ def _with_start(rows: DataFrame, files: DataFrame) -> DataFrame:
 def checksums(tokens: DataFrame) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and the CRC-32 of the ids as little-endian unsigned 32-bit numbers."""
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             column = batch.column("ids")
             bounds = np.asarray(column.offsets)
