@@ -8,7 +8,7 @@ from panelfill.sources.storage import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``class`` (the smallest node it is linked to) for each node of the links ``a``-``b``.
+    """``node`` and ``class`` (the smallest node it is linked to) for each node of the links ``a``-``b``, binary columns.
 
     Every round each node takes the smallest class next to it and then that class's own class, so long chains halve
     from round to round. Each round is written to the shared folder, which cuts the lineage.
@@ -17,13 +17,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
                     .select("node", F.least("node", "b").alias("class")), "classes")
     while True:
-        heard = (both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("class").alias("heard")))
-        nearer = (labels.join(heard, labels["node"] == heard["a"], "left")
-                  .select("node", "class", F.least("class", F.coalesce("heard", "class")).alias("next")))
-        nearer = stored(nearer, "classes")
-        jump = nearer.select(F.col("node").alias("_to"), F.col("next").alias("_far"))
-        moved = stored(nearer.join(jump, nearer["next"] == jump["_to"], "left")
-                       .select("node", F.least("next", F.coalesce("_far", "next")).alias("class"), F.col("class").alias("before")), "classes")
-        if not moved.where("class <> before").limit(1).count():
-            return moved.select("node", "class")
-        labels = moved.select("node", "class")
+        heard = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), "class", F.lit(None).cast("binary").alias("own"))
+        told = labels.select("node", "class", F.col("class").alias("own"))
+        nearer = stored(heard.union(told).groupBy("node").agg(F.min("class").alias("class"), F.max("own").alias("own")), "classes")
+        if not nearer.where(F.col("class") != F.col("own")).limit(1).count():
+            return nearer.select("node", "class")
+        jump = nearer.select(F.col("node").alias("_to"), F.col("class").alias("_far"))
+        labels = stored(nearer.join(jump, nearer["class"] == jump["_to"], "left")
+                        .select("node", F.least("class", F.coalesce("_far", "class")).alias("class")), "classes")

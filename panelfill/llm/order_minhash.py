@@ -9,8 +9,8 @@ in a band wide enough for the threshold, M / (n + m - M). Links are similarities
 connected components.
 
 Within a bucket texts are first compared with one of them only. Buckets that then hold several classes are compared
-further: against other members of their largest class while that adds links, and at last exhaustively, so no candidate
-of another class is left out. Pairs of one class are never listed.
+further: first, where the open comparisons outnumber the buckets' rows, against other members of their largest class
+while that adds links, and at last exhaustively, so no candidate of another class is left out. Pairs of one class are never listed.
 
 Defined cases: texts without words (null, empty, signs only) form one class; equal word sequences are one text for all
 comparisons; a class is named after its smallest ``doc_id``, null if it has none; an empty table gives an empty table;
@@ -34,8 +34,8 @@ from panelfill.sources.storage import stored
 
 BLOCK = 1 << 20
 SHINGLE = 5
-SKETCHES = 16
-PICKED = 3
+SKETCHES = 24
+PICKED = 5
 THRESHOLD = 0.8
 AGREEMENT = 0.4  # share of equal picks below which a pair is not aligned; about 0.7 is expected at the threshold
 SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -148,14 +148,16 @@ def aligned(a: list[int], b: list[int], threshold: float) -> float:
     return matched / (len(a) + len(b) - matched)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a``-``b`` whose texts reach the threshold. Cheap bounds come first: lengths, then shared picks."""
-    left = texts.select(F.col("_digest").alias("a"), F.col("text").alias("_ta"), F.col("_shingles").alias("_na"), F.col("_picks").alias("_pa"))
-    right = texts.select(F.col("_digest").alias("b"), F.col("text").alias("_tb"), F.col("_shingles").alias("_nb"), F.col("_picks").alias("_pb"))
-    slim = (pairs.join(left.drop("_ta"), "a").join(right.drop("_tb"), "b")
-            .where(F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb"))
-            .where(F.size(F.array_intersect("_pa", "_pb")) >= AGREEMENT * F.size(F.array_distinct("_pa"))))
-    slim = stored(slim.select("a", "b"), "pairs")
+def _similar(pairs: DataFrame, texts: DataFrame, threshold: float, slim: bool) -> DataFrame:
+    """The pairs ``a``-``b`` whose texts reach the threshold. Cheap bounds come first: lengths, then shared picks; with
+    ``slim`` they are tested before any text is moved."""
+    sides = [texts.select(F.col("_digest").alias(s), *[F.col(c).alias(f"_{s}{c}") for c in ("text", "_shingles", "_picks")]) for s in "ab"]
+    likely = ((F.least("_a_shingles", "_b_shingles") >= threshold * F.greatest("_a_shingles", "_b_shingles"))
+              & (F.size(F.array_intersect("_a_picks", "_b_picks")) >= AGREEMENT * F.size(F.array_distinct("_a_picks"))))
+    if slim:
+        bare = [s.drop(f"_{n}text") for s, n in zip(sides, "ab")]
+        pairs = stored(pairs.join(bare[0], "a").join(bare[1], "b").where(likely).select("a", "b"), "pairs")
+        likely = F.lit(True)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, last = Scanner({}), (None, None)
@@ -170,8 +172,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.binary()) for x in (a, b)], ["a", "b"])
 
-    return (slim.join(left.select("a", "_ta"), "a").join(right.select("b", "_tb"), "b")
-            .select("a", "b", "_ta", "_tb").mapInArrow(align, "a binary, b binary"))
+    return (pairs.join(sides[0], "a").join(sides[1], "b").where(likely)
+            .select("a", "b", F.col("_atext").alias("_ta"), F.col("_btext").alias("_tb")).mapInArrow(align, "a binary, b binary"))
 
 
 def classes(sketch: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -188,7 +190,7 @@ def classes(sketch: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     own = stored(read.join(wanted, (read["_digest"] == wanted["_d"]) & read["doc_id"].eqNullSafe(wanted["_first"]))
                  .groupBy("_digest").agg(F.min("text").alias("text"), F.first("_shingles").alias("_shingles"), F.first("_picks").alias("_picks")), "texts")
     tested = stored(buckets.where("_digest <> hub").select(F.col("_digest").alias("a"), F.col("hub").alias("b")).distinct(), "tested")
-    links, step = stored(_similar(tested, own, threshold), "similar"), 0
+    links, step = stored(_similar(tested, own, threshold, slim=False), "similar"), 0
     while True:
         step += 1
         found = components(links)
@@ -199,10 +201,15 @@ def classes(sketch: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
         apart = stored(placed.join(main.where("k > 1").select("key", "main"), "key").where(F.col("class") != F.col("main.class")), "apart")
         if not apart.limit(1).count():
             return found
-        tested, more = _next_links(apart.select("_digest", F.col("main.hub").alias("hub")), tested, own, threshold)
-        if not more.limit(1).count():
-            others = placed.select("key", F.col("_digest").alias("hub"), F.col("class").alias("_other"))
-            rest = apart.join(others, "key").where(F.col("class") != F.col("_other")).select("_digest", "hub")
+        others = placed.select("key", F.col("_digest").alias("hub"), F.col("class").alias("_other"))
+        rest = apart.join(others, "key").where(F.col("class") != F.col("_other")).select("_digest", "hub")
+        loose = apart.groupBy("key").agg(F.count(F.lit(1)).alias("k")).join(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+        every = (loose.agg(F.sum(F.col("k") * F.col("n"))).first()[0] or 0) <= 4 * buckets.count()
+        more = None
+        if not every:
+            tested, more = _next_links(apart.select("_digest", F.col("main.hub").alias("hub")), tested, own, threshold)
+            every = not more.limit(1).count()
+        if every:
             _, more = _next_links(rest, tested, own, threshold)
             return components(stored(links.union(more), "similar")) if more.limit(1).count() else found
         links = stored(links.union(more), "similar")
@@ -212,7 +219,7 @@ def _next_links(pairs: DataFrame, tested: DataFrame, own: DataFrame, threshold:
     """Compare the pairs that were not compared yet; also returns all that are compared now."""
     fresh = pairs.select(F.greatest("_digest", "hub").alias("a"), F.least("_digest", "hub").alias("b")).distinct()
     fresh = stored(fresh.join(tested, ["a", "b"], "left_anti"), "fresh")
-    return stored(tested.union(fresh), "tested"), stored(_similar(fresh, own, threshold), "links")
+    return stored(tested.union(fresh), "tested"), stored(_similar(fresh, own, threshold, slim=True), "links")
 
 
 def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
