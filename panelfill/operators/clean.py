@@ -33,16 +33,17 @@ def parse_date(p: DataFrame, col: str = "Date", fmt: str | None = None) -> DataF
 
 
 def to_naive_utc(p: DataFrame, col: str = "Date") -> DataFrame:
-    """Text with an optional offset ('...+02:00', '...Z') to a naive UTC stamp; no offset means UTC already."""
+    """Text with an optional offset ('...+02:00', '...+02', '...Z', '...z') to a naive UTC stamp; none means UTC already.
+    Any other ending makes the stamp null."""
     text = F.trim(F.col(col))
-    offset = F.regexp_extract(text, r"([+-])(\d{2}):?(\d{2})$", 0)
+    offset = F.regexp_extract(text, r"([+-])(\d{2})(:?\d{2})?$", 0)
     sign = F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1)
     digits = F.regexp_replace(offset, "[+:-]", "")
     seconds = F.when(offset != "", sign * (
-        F.substring(digits, 1, 2).try_cast("int") * 3600 + F.substring(digits, 3, 2).try_cast("int") * 60)
+        F.substring(digits, 1, 2).try_cast("int") * 3600 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60)
     ).otherwise(0)
     has_time = text.rlike(r"\d:\d{2}")
-    local = F.when(has_time, F.regexp_replace(text, r"\s*([+-]\d{2}:?\d{2}|Z)$", "")).otherwise(text)
+    local = F.when(has_time, F.regexp_replace(text, r"\s*([+-]\d{2}(:?\d{2})?|[Zz])$", "")).otherwise(text)
     stamp = local.try_cast("timestamp_ntz")
     return p.withColumn(col, F.when(has_time, add_seconds(stamp, -seconds)).otherwise(stamp))
 

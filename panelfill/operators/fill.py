@@ -18,9 +18,9 @@ from panelfill.operators.scan import observed_neighbours
 
 
 def impute_mean(p: DataFrame, value: str = "Value_missing") -> DataFrame:
-    """Series mean; a series without any value stays null."""
+    """Series mean; a series without any value stays null, and so does a cell without a key."""
     means = p.groupBy(*SERIES).agg(F.avg(value).alias("_mean"))
-    return p.join(means, SERIES).withColumn(value, F.coalesce(value, "_mean")).select(*p.columns)
+    return p.join(means, SERIES, "left").withColumn(value, F.coalesce(value, "_mean")).select(*p.columns)
 
 
 def impute_ffill(p: DataFrame, value: str = "Value_missing") -> DataFrame:

@@ -35,7 +35,7 @@ def _is_inf(c: Column, t: T.DataType) -> Column:
 
 
 def _parses_as_time(c: Column, formats) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).isNotNull()
+    return F.coalesce(c.try_cast("timestamp"), *[F.try_to_timestamp(c, F.lit(f)) for f in formats]).isNotNull()
 
 
 def column_stats(df: DataFrame, config: dict | None = None, outliers: bool = True) -> DataFrame:

@@ -48,11 +48,20 @@ def ordinal(df: DataFrame, keys: list[str], order: list[Column | str], bucket: C
         *([F.sum("_n").over(w_keys).alias(total)] if total else []))
     local = F.row_number().over(W.partitionBy("_lead", *keys, "_bucket").orderBy(*order))
     return (df.withColumn(out, local)
-            .join(shift, ["_lead", *keys, "_bucket"])
+            .transform(lambda left: null_safe_join(left, shift, ["_lead", *keys, "_bucket"]))
             .withColumn(out, (F.col(out) + F.col("_shift")).cast("bigint"))
             .drop("_lead", "_bucket", "_shift"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, where null equals null."""
+    other = right.select(*[F.col(k).alias(f"_r{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r{k}"))
+    return left.join(other, same).drop(*[f"_r{k}" for k in keys])
+
+
 def date_ordinal(df: DataFrame, keys: list[str], out: str = "_pos", total: str | None = None,
                  span_days: int = SPAN_DAYS) -> DataFrame:
     return ordinal(df, keys, ["Date"], span_chunk(F.col("Date"), span_days), out, total)
@@ -63,15 +72,14 @@ def observed_neighbours(df: DataFrame, value: str = "Value", keys: list[str] = S
     """Add, per cell: its row position, the nearest observed value at or before it and at or after it
     (with their positions) and the series mean.
 
+    A cell whose key or date is null belongs to no series: it stays, without neighbours and mean.
+
     Added columns: _pos, _prev, _prev_pos, _next, _next_pos, _mean.
     """
     v = F.col(value)
-    # The null checks are what the join below would add to one side only; said once, both uses of the cells
-    # are the same sub-plan and share one shuffle.
-    cells = df.withColumn("_chunk", span_chunk(F.col("Date"), span_days))
-    for c in [*keys, "_chunk"]:
-        cells = cells.where(F.col(c).isNotNull())
-    cells = led(cells, *keys, "_chunk")
+    # Null-safe joins keep cells without a key and add no null check to one side only, so that both uses of the
+    # cells are the same sub-plan and share one shuffle.
+    cells = led(df.withColumn("_chunk", span_chunk(F.col("Date"), span_days)), *keys, "_chunk")
     chunk = W.partitionBy("_lead", *keys, "_chunk")
     forward = chunk.orderBy("Date")
     upto = forward.rowsBetween(*UP_TO)
@@ -104,10 +112,14 @@ def observed_neighbours(df: DataFrame, value: str = "Value", keys: list[str] = S
     behind = numbered.select("*", F.last(v, True).over(upto).alias("_prev"), F.last("_at", True).over(upto).alias("_prev_pos"))
     local = behind.select("*", F.last(v, True).over(onwards).alias("_next"), F.last("_at", True).over(onwards).alias("_next_pos"))
     shift = F.col("_shift")
-    return (local.join(carried, ["_lead", *keys, "_chunk"])
+    known = F.col("Date").isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return (null_safe_join(local, carried, ["_lead", *keys, "_chunk"])
             .withColumn("_prev", F.coalesce("_prev", "_in"))
             .withColumn("_prev_pos", F.coalesce(F.col("_prev_pos") + shift, "_in_pos"))
             .withColumn("_next", F.coalesce("_next", "_out"))
             .withColumn("_next_pos", F.coalesce(F.col("_next_pos") + shift, "_out_pos"))
             .withColumn("_pos", F.col("_rn") + shift)
+            .withColumns({c: F.when(known, F.col(c)) for c in ("_prev", "_prev_pos", "_next", "_next_pos", "_mean")})
             .drop("_lead", "_chunk", "_rn", "_at", "_shift", "_in", "_in_pos", "_out", "_out_pos"))

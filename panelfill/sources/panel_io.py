@@ -27,7 +27,7 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[t
 def read_feature_csvs(spark: SparkSession, folder: str) -> DataFrame:
     """One wide CSV per feature (file name = feature, first column = time stamp, one column per station) -> long panel.
 
-    Only the header is looked at up front. Two headers with the same first word fail instead of mixing.
+    Only the header is looked at up front. A file without station columns adds no rows. Two headers with the same first word fail instead of mixing.
     """
     files = list_files(spark, folder)
     if not files:
@@ -37,16 +37,19 @@ def read_feature_csvs(spark: SparkSession, folder: str) -> DataFrame:
         feature = path.rsplit("/", 1)[-1][: -len(".csv")]
         wide = spark.read.option("header", True).csv(path)
         stations = wide.columns[1:]
+        if not stations:
+            continue
         short = [c.split(" ")[0] for c in stations]
         if len(set(short)) != len(short):
             raise ValueError(f"{path}: station names collide after the first blank")
         wide = wide.toDF("Date", *[f"s{i}" for i in range(len(stations))])
         values = [F.col(f"s{i}").try_cast("double").alias(c) for i, c in enumerate(stations)]
-        long = (wide.select("Date", *values).unpivot(["Date"], [f"`{c}`" for c in stations], "Station", "Value")
-                if stations else None)
+        long = wide.select("Date", *values).unpivot(["Date"], [f"`{c}`" for c in stations], "Station", "Value")
         long = normalise_station(to_naive_utc(long))
         long = long.select("Date", F.lit(feature).alias("Feature"), "Station", nan_to_null(F.col("Value")).alias("Value"))
         panel = long if panel is None else panel.unionByName(long)
+    if panel is None:
+        return spark.createDataFrame([], "Date timestamp_ntz, Feature string, Station string, Value double")
     return panel
 
 
@@ -135,7 +138,10 @@ def validate_folder(spark: SparkSession, folder: str, suffix: str = ".csv", conf
     out = file_findings(spark, folder, suffix, cfg["max_file_size_mb"])
     for path, _ in list_files(spark, folder, suffix) or []:
         header = spark.read.text(path).first()
-        names = next(csv.reader([header[0]])) if header else []
+        names = next(csv.reader([header[0]]), []) if header else []
+        if not names:
+            out = out.unionByName(spark.createDataFrame([(path, "read", None, "error", None, None, "failed to read: no header")], RESULT))
+            continue
         if len(set(names)) != len(names):
             dup = sorted({c for c in names if names.count(c) > 1})
             rows = [(path, "duplicate_column", c, "error", float(names.count(c)), 1.0, f"duplicate column name: {c}") for c in dup]

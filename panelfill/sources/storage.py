@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this machine if the session runs on this machine only."""
+    """spark.checkpoint.dir, or where it is unset a folder of the session's warehouse; every executor reaches both."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="panelfill-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_panelfill"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
