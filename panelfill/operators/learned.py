@@ -76,9 +76,9 @@ def impute_gbt(p: DataFrame, value: str = "Value_missing", by: str = "Feature",
     return (cell_join(p, cells, "left").withColumn(value, F.coalesce(F.col(value), F.col("_fill"))).select(*p.columns))
 
 
-def tune_gbt(p: DataFrame, value: str = "Value_missing", by: str = "Wide", grid: dict | None = None, n_rows: int = 5000,
+def tune_gbt(p: DataFrame, value: str = "Value_missing", by: str = "Wide", grid: dict | None = None, n_rows: int | None = None,
              seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """RMSE per setting for the proxy series (the first one with a gap), on a sample of its known rows, 80/20."""
+    """RMSE per setting for the proxy series (the first one with a gap), on its known rows, 80/20; ``n_rows`` draws that many of them first."""
     grid = grid or {"maxDepth": [3, 5], "maxIter": [10, 20]}
     target = tuning_target(p, value).first()
     rows = row_vectors(with_partition(p.select(*CELL, value), by), value)
@@ -89,7 +89,8 @@ def tune_gbt(p: DataFrame, value: str = "Value_missing", by: str = "Wide", grid:
     filled = F.zip_with("x", "means", lambda v, m: F.coalesce(v, m))
     design = known.select("Date", F.get("x", F.col("_j") - 1).alias("_y"), array_to_vector(
         F.filter(filled, lambda v, i: i != F.col("_j") - 1)).alias("_f"))
-    sample = stored(sample_split(design, n_rows, 0.8, seed))
+    split = F.pmod(F.xxhash64(F.lit(seed), "Date"), F.lit(100)) < 80
+    sample = stored(design.withColumn("is_train", split) if n_rows is None else sample_split(design, n_rows, 0.8, seed))
     trees = _trees("_f", "_y", 3, 10, 0.1, 1.0, 1.0, seed)
     builder = ParamGridBuilder()
     for name, values in grid.items():

@@ -67,7 +67,7 @@ def masked_mae(m: DataFrame, truth: DataFrame, mask: DataFrame, keys=()) -> Data
     return joined.groupBy(*keys).agg(F.avg(err).alias("masked_mae"))
 
 
-def head_rows(p: DataFrame, n: int = 1000) -> DataFrame:
+def head_rows(p: DataFrame, n: int) -> DataFrame:
     """All cells of the first n dates: the tuning sample. Only the distinct dates are sorted."""
     first = p.select("Date").distinct().orderBy("Date").limit(n)
     return p.join(first, "Date", "left_semi")
@@ -102,7 +102,7 @@ def tuning_target(p: DataFrame, value: str = "Value_missing") -> DataFrame:
     return per.agg(F.coalesce(F.min(F.when(F.col("_gaps") > 0, key)), F.min(key)).alias("s")).select("s.*")
 
 
-def sample_split(rows: DataFrame, n: int = 5000, frac: float = 0.8, seed: int = 42, key=("Date",)) -> DataFrame:
+def sample_split(rows: DataFrame, n: int, frac: float = 0.8, seed: int = 42, key=("Date",)) -> DataFrame:
     """Draw n rows without replacement, then mark ``frac`` of them as training rows (column is_train)."""
     drawn = rows.withColumn("_h", draw_hash(seed, *key)).orderBy("_h").limit(n)
     # At most n rows are left, so one window may order them all.

@@ -84,7 +84,7 @@ def _tune_sql() -> dict[str, str]:
     hidden = tb.hidden_sql(
         "(SELECT Date, Station, Feature, Value_missing AS Value, row_number() OVER (PARTITION BY Station, Feature ORDER BY Value_missing IS NULL, "
         "md5(concat_ws('|', '42', Station, Feature, Date::VARCHAR))) AS rk, count(Value_missing) OVER (PARTITION BY Station, Feature) AS n FROM group_prepared "
-        "WHERE Date IN (SELECT DISTINCT Date FROM group_prepared ORDER BY Date LIMIT 1000))", "rk <= greatest(1, floor(0.1 * n))")
+        "WHERE Date IN (SELECT DISTINCT Date FROM group_prepared))", "rk <= greatest(1, floor(0.1 * n))")
     grid = {"tried": "SELECT n_neighbors, Date, Station, Feature, avg(value) AS uniform, CASE WHEN min(dist) = 0 THEN avg(value) FILTER (dist = 0) "
                      "ELSE sum(value / nullif(dist, 0)) / sum(1 / nullif(dist, 0)) END AS distance FROM ranked JOIN (SELECT unnest([3, 5, 7, 10]) AS n_neighbors) "
                      "ON k <= n_neighbors GROUP BY n_neighbors, Date, Station, Feature",

@@ -193,3 +193,16 @@ def test_runs_are_numbered(spark, tmp_path):
     s = score.evaluate(p, fill.run_methods(p), with_dtw=False, with_ssim=False)
     path = str(tmp_path / "scores")
     assert [panel_io.append_scores(s, path), panel_io.append_scores(s, path)] == [1, 2]
+
+
+def test_cells_without_a_key_stay(spark):
+    import helpers as h
+    rows = [(h.START, "a", "f", 1.0), (h.START + h.dt.timedelta(1), "a", "f", None), (h.START, None, "f", None),
+            (h.START, None, "f", 5.0), (None, "a", "f", None), (h.START, "a", None, None)]
+    p = spark.createDataFrame(rows, "Date timestamp_ntz, Station string, Feature string, Value_missing double")
+    from panelfill.operators import fill
+    for method in (fill.impute_mean, fill.impute_ffill, fill.impute_linear):
+        out = method(p).collect()
+        keyed = [r for r in out if r["Date"] and r["Station"] and r["Feature"]]
+        assert len(out) == len(rows) and [r["Value_missing"] for r in keyed] == [1.0, 1.0]
+        assert sorted(r["Value_missing"] or 0 for r in out if not (r["Station"] and r["Feature"])) == [0, 0, 5.0]
