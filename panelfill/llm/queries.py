@@ -85,7 +85,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_order_minhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return order_minhash.with_class(docs).select("doc_id", "class_id")
+    return order_minhash.with_class(docs, columns=["doc_id"]).select("doc_id", "class_id")
 
 
 @query("op3_suffix_levels")
