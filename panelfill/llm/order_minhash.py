@@ -41,6 +41,7 @@ AGREEMENT = 0.6  # share of equal picks below which a pair is not aligned; at th
 SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 SKETCH = T.StructType([T.StructField("_digest", T.BinaryType()), T.StructField("_shingles", T.LongType()),
                        T.StructField("_keys", T.ArrayType(T.LongType())), T.StructField("_picks", T.ArrayType(T.IntegerType()))])
+BITS = 1 << 26  # of the bitmap that keeps most unwanted texts from being moved; 8 MB at any size of the corpus
 ROW = ["_k1", "_k2"]  # hashes that name a row by its id and text
 
 
@@ -180,6 +181,19 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float, slim: bool) -
             .select("a", "b", F.col("_atext").alias("_ta"), F.col("_btext").alias("_tb")).mapInArrow(align, "a binary, b binary"))
 
 
+def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the wanted rows, which are distinct. A bitmap of hashes, of at most ``BITS`` bits and therefore broadcast, lets all wanted
+    rows and few others pass before texts are moved."""
+    bit = F.pmod("_k1", F.lit(BITS)) + 1
+    bitmap = (wanted.select(bit.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits")))
+    place = F.bitmap_bit_position("_bit")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    likely = (docs.select("text", *ROW, bit.alias("_bit")).withColumn("_bucket", F.bitmap_bucket_number("_bit"))
+              .join(F.broadcast(bitmap), "_bucket").where(F.getbit(byte, (place % 8).cast("int")) == 1))
+    return likely.join(wanted, ROW).select("text")  # a semi-join would be moved before the bitmap
+
+
 def classes(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``node`` (a digest) and ``class`` (the smallest digest of its component) of every text that is linked to another.
 
@@ -192,7 +206,7 @@ def classes(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     hubs = buckets.groupBy("key").agg(F.min("_digest").alias("hub"))
     wanted = stored(texts.select("_digest", "_least").join(buckets.select("_digest").distinct(), "_digest", "left_semi")
                     .select(*[F.col(f"_least.{k}").alias(k) for k in ROW]), "wanted")
-    own = stored(sketched(docs.join(wanted, ROW, "left_semi").select("text"), ["text", "_digest", "_shingles", "_picks"])
+    own = stored(sketched(_rows_of(docs, wanted), ["text", "_digest", "_shingles", "_picks"])
                  .groupBy("_digest").agg(F.min("text").alias("text"), F.first("_shingles").alias("_shingles"), F.first("_picks").alias("_picks")), "texts")
     tested = stored(buckets.join(hubs, "key").where("_digest <> hub").select(F.col("_digest").alias("a"), F.col("hub").alias("b")).distinct(), "tested")
     links, step = stored(_similar(tested, own, threshold, slim=False), "similar"), 0
