@@ -4,7 +4,8 @@ Words are those of ``decontaminate``: lower-case letters, digits and non-ASCII c
 its five-word shingles (one shingle of all words if there are fewer). Equal shingles are told apart by the number of
 their occurrence. Each of ``SKETCHES`` hash functions picks the ``PICKED`` smallest labelled shingles of a document and
 keeps them in text order; the hash of that tuple is a bucket key, which texts share the more likely the smaller their
-edit distance. Texts that share a key are aligned: similarity is the number of aligned shingles M of the best alignment
+edit distance. Texts of at most ``SHORT`` shingles also get exact keys, their sequence with each choice of shingles left out
+that the threshold allows, so that of two such texts no pair is lost. Texts that share a key are aligned: similarity is the number of aligned shingles M of the best alignment
 in a band wide enough for the threshold, M / (n + m - M). Links are similarities of 0.8 or more, classes their
 connected components.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,14 @@ SHINGLE = 5
 SKETCHES = 24
 PICKED = 5
 THRESHOLD = 0.8
+SHORT = 12  # texts of at most so many shingles have exact keys
+# The places kept when 0, 1, ... shingles are left out, by the number of shingles; M of n are M / n similar
+KEPT = {n: [np.array(list(combinations(range(n), n - i))) for i in range(n // 5 + 1)] for n in range(4, SHORT + 1)}
 AGREEMENT = 0.6  # share of equal picks below which a pair is not aligned; at the threshold it is 0.83, deviating by 0.03
 SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 SKETCH = T.StructType([T.StructField("_digest", T.BinaryType()), T.StructField("_shingles", T.LongType()),
-                       T.StructField("_keys", T.ArrayType(T.LongType())), T.StructField("_picks", T.ArrayType(T.IntegerType()))])
+                       T.StructField("_keys", T.ArrayType(T.LongType())), T.StructField("_parts", T.ArrayType(T.LongType())),
+                       T.StructField("_even", T.ArrayType(T.LongType())), T.StructField("_picks", T.ArrayType(T.IntegerType()))])
 BITS = 1 << 26  # of the bitmap that keeps most unwanted texts from being moved; 8 MB at any size of the corpus
 ROW = ["_k1", "_k2"]  # hashes that name a row by its id and text
 
@@ -94,9 +100,38 @@ def sketches(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return keys, picks.reshape(count, -1)
 
 
+def exact_keys(shingles: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Exact keys of short texts at the threshold 0.8, none for others. ``parts``: the key of the whole sequence, then those
+    with some shingles left out; two texts are similar if the whole of one is a part of the other. ``even``: keys with one
+    of at least nine left out, at which all texts that share one are similar. Other ways to be similar need 13 shingles."""
+    n, none = np.diff(bounds), np.zeros(0, np.uint64)
+    parts, even = [none] * len(n), [none] * len(n)
+    for size, choices in KEPT.items():
+        at = np.flatnonzero(n == size)
+        if not len(at):
+            continue
+        own, made = shingles[bounds[at][:, None] + np.arange(size)], []
+        for kept in choices:
+            key = np.full((len(at), len(kept)), kept.shape[1], np.uint64)
+            for place in kept.T:
+                key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + own[:, place])
+            made.append(key)
+        for text, keys in zip(at, np.concatenate(made, 1)):
+            parts[text] = keys
+        if size > 8:
+            for text, keys in zip(at, mixed(made[1] ^ SEEDS[0])):
+                even[text] = keys
+    return parts, even
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    values = np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)), pa.array(values))
+
+
 def sketched(docs: DataFrame, wanted: list[str]) -> DataFrame:
-    """The ``wanted`` columns of the documents or of ``SKETCH``: digest of the words, number of shingles, bucket keys and
-    picked hashes."""
+    """The ``wanted`` columns of the documents or of ``SKETCH``: digest of the words, number of shingles, bucket keys, exact
+    keys and picked hashes."""
     carried = [c for c in wanted if c not in SKETCH.names]
     made = [c for c in wanted if c in SKETCH.names]
     read = docs.select(*dict.fromkeys([*carried, "text"]))
@@ -115,7 +150,8 @@ def sketched(docs: DataFrame, wanted: list[str]) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size * width)]).astype(np.int32)), pa.array(values))
                          for width, values in ((SKETCHES, keys.astype(np.uint64).view(np.int64).ravel()),
                                                (SKETCHES * PICKED, picks.astype(np.uint64).astype(np.uint32).view(np.int32).ravel()))]
-                own = dict(zip(SKETCH.names, [pa.array(digests, pa.binary()), pa.array(np.diff(bounds)), *lists]))
+                exact = [_lists(rows) for rows in exact_keys(shingles, bounds)]
+                own = dict(zip(SKETCH.names, [pa.array(digests, pa.binary()), pa.array(np.diff(bounds)), lists[0], *exact, lists[1]]))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carried], *[own[c] for c in made]], [*carried, *made])
 
     return read.mapInArrow(sketch, schema)
@@ -200,15 +236,20 @@ def classes(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     ``docs`` are the named documents, ``texts`` a written table with one row for each digest. Only texts that share a key
     are read again, and only then are their picks made.
     """
-    keyed = texts.select("_digest", F.explode("_keys").alias("key"))
+    keyed = texts.select("_digest", F.explode(F.array_distinct(F.concat("_keys", "_even"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = stored(keyed.join(shared, "key"), "buckets")
     hubs = buckets.groupBy("key").agg(F.min("_digest").alias("hub"))
-    wanted = stored(texts.select("_digest", "_least").join(buckets.select("_digest").distinct(), "_digest", "left_semi")
+    whole = texts.where(F.size("_parts") > 0).select(F.get("_parts", F.lit(0)).alias("key"), F.col("_digest").alias("hub"))
+    parts = texts.select("_digest", F.explode(F.array_distinct(F.slice("_parts", 2, SHORT * SHORT))).alias("key"))
+    held = stored(parts.join(whole, "key").select(F.greatest("_digest", "hub").alias("a"), F.least("_digest", "hub").alias("b")).distinct(), "held")
+    used = buckets.select("_digest").union(held.select("a")).union(held.select("b")).distinct()
+    wanted = stored(texts.select("_digest", "_least").join(used, "_digest", "left_semi")
                     .select(*[F.col(f"_least.{k}").alias(k) for k in ROW]), "wanted")
     own = stored(sketched(_rows_of(docs, wanted), ["text", "_digest", "_shingles", "_picks"])
                  .groupBy("_digest").agg(F.min("text").alias("text"), F.first("_shingles").alias("_shingles"), F.first("_picks").alias("_picks")), "texts")
-    tested = stored(buckets.join(hubs, "key").where("_digest <> hub").select(F.col("_digest").alias("a"), F.col("hub").alias("b")).distinct(), "tested")
+    tested = stored(buckets.join(hubs, "key").where("_digest <> hub").select(F.col("_digest").alias("a"), F.col("hub").alias("b"))
+                    .union(held).distinct(), "tested")
     links, step = stored(_similar(tested, own, threshold, slim=False), "similar"), 0
     while True:
         step += 1
@@ -251,9 +292,9 @@ def _named(docs: DataFrame) -> DataFrame:
 def _classified(docs: DataFrame, rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The sketched ``rows`` of the named documents, and each digest with its class, the smallest id of the class, the
     digest that is kept of it and the row with the smallest id of the digest."""
-    sketch = stored(sketched(rows, [*[c for c in rows.columns if c != "text"], "_digest", "_shingles", "_keys"]), "sketch")
+    sketch = stored(sketched(rows, [*[c for c in rows.columns if c != "text"], "_digest", "_shingles", "_keys", "_parts", "_even"]), "sketch")
     texts = stored(sketch.groupBy("_digest").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", *ROW)).alias("_least"),
-                                                 F.first("_keys").alias("_keys")), "digests")
+                                                 *[F.first(c).alias(c) for c in ("_keys", "_parts", "_even")]), "digests")
     found = classes(docs, texts, threshold)
     named = stored(texts.select("_digest", "_least").join(found, F.col("_digest") == F.col("node"), "left")
                    .select("_digest", "_least", F.coalesce("class", "_digest").alias("class")), "named")

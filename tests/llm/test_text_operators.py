@@ -144,6 +144,29 @@ def test_near_duplicates(docs, rows):
     assert sorted(r.doc_id for r in kept) == sorted(set(got.values())) and len(kept[0]) == len(docs.columns)
 
 
+def test_short_near_duplicates(spark):
+    rng, texts = random.Random(7), []
+    for group in range(40):
+        base = [f"g{group}w{i}" for i in range(8 + group % 9)]
+        texts += [base, base + ["end"], ["front"] + base, base[:-1] + ["other"], ["front"] + base + ["end"]]
+    texts += [[rng.choice("ab") for _ in range(n)] for n in range(8, 17) for _ in range(12)]  # repeated shingles, inner runs
+    texts += [["v"] + ["ha"] * n + ["w"] for n in range(5, 15)]
+    scanner, docs = order_minhash.Scanner({}), [" ".join(t) for t in texts]
+    shingles = [order_minhash.shingles_of([t.encode()], scanner)[0].tolist() for t in docs]
+    name = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            short = max(len(shingles[i]), len(shingles[j])) <= order_minhash.SHORT
+            if name[i] != name[j] and short and order_minhash.aligned(shingles[i], shingles[j], 0.8) >= 0.8:
+                name = [min(name[i], name[j]) if n in (name[i], name[j]) else n for n in name]
+    short = [i for i in range(len(docs)) if len(shingles[i]) <= order_minhash.SHORT]
+    frame = spark.createDataFrame([(i, docs[i]) for i in short], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in order_minhash.with_class(frame).collect()}
+    assert got == {i: name[i] for i in short}
+    assert got[0] == got[1] == got[2] == 0  # 8 against 9 words, and 9 against 10 below
+    assert got[5] == got[6] == got[7] == 5
+
+
 def test_alignment():
     a = list(range(100))
     assert order_minhash.aligned(a, a, 0.8) == 1.0
