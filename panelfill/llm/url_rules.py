@@ -1,7 +1,8 @@
 """URL filter: rules indexed by their rarest literal token.
 
 A pattern rule blocks the addresses its regular expression finds. Each rule is filed under the one of its literal tokens
-that the fewest addresses have; the tokens of an address fetch candidate rules, and only these run. Site rules give a
+that the fewest addresses have; the tokens of an address fetch candidate rules, and only these run. A rule without literal
+tokens runs on every address; a rule with alternatives is split, so that each part has its own tokens. Site rules give a
 verdict to a host, its subdomains and a leading path, the longest rule wins and goes before all pattern rules; they are
 filed in the same index under a token of their host. Only DataFrame functions are used.
 
@@ -33,21 +34,24 @@ class SiteRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``pattern`` (Java syntax, over the lower-case address) needs all of its literal ``tokens`` to be there."""
+    """``pattern`` (Java syntax, over the lower-case address) needs all of its literal ``tokens`` to be there as whole tokens,
+    that is, without letters or digits beside them; if there is none such, ``tokens`` is empty."""
     name: str
     pattern: str
-    tokens: tuple[str, ...]
+    tokens: tuple[str, ...] = ()
 
 
 SITE_RULES = [SiteRule("org", "/", "allow"), SiteRule("example.org", "/es/", "block"), SiteRule("example.org", "/en/1", "block"),
               SiteRule("com", "/fr/", "allow"), SiteRule("com", "/de/", "block")]
 PATTERN_RULES = [
     PatternRule("spam farm", r"://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
-    PatternRule("cheap pills", r"://([^/?#]*[.-])?cheap-?pills?[.-]", ("cheap", "pills")),
-    PatternRule("casino", r"://([^/?#]*[.-])?casino([.-]|[0-9])", ("casino",)),
-    PatternRule("adult", r"://([^/?#]*[.-])?(xxx|porn)([.-])", ("xxx",)),
-    PatternRule("adult word", r"://([^/?#]*[.-])?porn([.-])", ("porn",)),
-    PatternRule("tracking redirect", r"/(redirect|out)\?(.*&)?url=https?(:|%3a)", ("redirect", "url")),
+    PatternRule("cheap pills", r"://([^/?#]*[.-])?cheap-pills?[.-]", ("cheap",)),
+    PatternRule("casino", r"://([^/?#]*[.-])?casino[.-]", ("casino",)),
+    PatternRule("casino", r"://([^/?#]*[.-])?casino[0-9]"),
+    PatternRule("adult", r"://([^/?#]*[.-])?xxx[.-]", ("xxx",)),
+    PatternRule("adult word", r"://([^/?#]*[.-])?porn[.-]", ("porn",)),
+    PatternRule("tracking redirect", r"/redirect\?(.*&)?url=https?(:|%3a)", ("redirect", "url")),
+    PatternRule("tracking redirect", r"/out\?(.*&)?url=https?(:|%3a)", ("out", "url")),
 ]
 
 
@@ -65,24 +69,29 @@ def _tokens() -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("url").cast("string"), F.lit(""))), F.lit(TOKEN), F.lit(0)))
 
 
+def _literals(tokens: list[str]) -> Column:
+    return F.array(*[F.lit(t) for t in tokens]).cast("array<string>")
+
+
 def rarest_tokens(pages: DataFrame, rules: list) -> dict[str, list]:
-    """The index: rules by the token of theirs that the fewest addresses have. Tokens of rules only are counted."""
+    """The index: rules by the token of theirs that the fewest addresses have, those without tokens under an empty one.
+    Tokens of rules only are counted."""
     wanted = sorted({t for r in rules for t in r.tokens})
-    own = F.array_intersect(_tokens(), F.array(*[F.lit(t) for t in wanted]))
+    own = F.array_intersect(_tokens(), _literals(wanted))
     counts = {r["token"]: r["n"] for r in pages.select(F.explode(own).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
     index: dict[str, list] = {}
     for rule in rules:
-        index.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)), []).append(rule)
+        index.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), -len(t), t), default=""), []).append(rule)
     return index
 
 
 def _candidates(index: dict[str, list], columns: list[tuple]) -> Column:
-    """Rules that the tokens of an address fetch, as an array of structs."""
+    """Rules that the tokens of an address fetch, and those without tokens, as an array of structs."""
     if not index:
         return F.array()
     entries = F.create_map(*[x for token, rules in sorted(index.items()) for x in (
         F.lit(token), F.array(*[F.struct(*[F.lit(get(r)).alias(name) for name, get in columns]) for r in rules]))])
-    hit = F.array_intersect(_tokens(), F.array(*[F.lit(t) for t in sorted(index)]))
+    hit = F.array_intersect(F.concat(_tokens(), _literals([""])), _literals(sorted(index)))
     return F.flatten(F.transform(hit, lambda t: F.element_at(entries, t)))
 
 
@@ -90,8 +99,6 @@ def with_verdict(pages: DataFrame, sites: list[SiteRule] = SITE_RULES, patterns:
     """The pages with ``host``, ``path``, ``rule`` (the site rule that fits, else null), ``pattern`` and ``verdict``."""
     if len(sites) + len(patterns) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules; they are part of the plan")
-    if any(not r.tokens for r in [*sites, *patterns]):
-        raise ValueError("every rule needs a literal token")
     kept = pages.columns
     index = rarest_tokens(pages, [*sites, *patterns])
     by_kind = lambda kind: {t: own for t, rules in index.items() if (own := [r for r in rules if isinstance(r, kind)])}

@@ -226,6 +226,20 @@ def test_urls(spark):
     assert len(got) == 2 * len(urls) and all((r.rule, r.verdict) == urls[r.url] for r in got)
 
 
+def test_urls_that_rules_must_not_miss(spark):
+    block = ["https://casino7.net/", "https://a.casino777win.org.net/x", "http://my-casino.net/", "http://x.net/out?url=http://y.net",
+             "http://x.net/redirect?a=1&url=https%3A//y.net", "https://cheap-pill.net/", "https://cheap-pills.net/", "http://XXX.net", "http://a-porn.net/xxx"]
+    allow = ["https://casinos.net/", "https://mycasino7.net/", "https://cheappills.net/", "http://x.net/about?url=http://y.net", "http://x.net/out?curl=http://y.net"]
+    many = [f"http://{t}.net/redirect/url/casino/{t}" for t in ("cheap", "out", "url", "redirect", "casino", "pills")] * 3  # tokens of all frequencies
+    for extra in ([], many, ["http://pills.net/"], ["http://cheap.net/a", "http://url.net/", "http://url.net/2"]):
+        urls = [*block, *allow, *[u for u in extra if "//casino." not in u]]
+        got = url_rules.with_verdict(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+        assert {r.url for r in got if r.verdict == "block"} == set(block) and len(got) == len(urls)
+    rule = url_rules.PatternRule("odd", "[0-9]{9}")
+    got = url_rules.with_verdict(spark.createDataFrame([("http://a.net/123456789",), ("http://a.net/1",), (None,)], "url string"), [], [rule]).collect()
+    assert [r.pattern for r in got] == ["odd", None, None]
+
+
 def test_personal_data(spark, docs):
     got = {r.doc_id: r for r in pii.with_spans(docs.where("doc_id is not null")).withColumn("listed", pii.listed("base")).collect()}
     assert got[8].listed == "email:5:16,phone:23:40" and got[9].listed == "card:5:24,ip:32:42"
