@@ -33,7 +33,6 @@ WORD = r"(?<!\S)(?=[^\s0-9]*+[0-9])\S{6,64}+(?!\S)"
 ROUNDS = 3
 CONFIDENCE = 0.8
 SUPPORT = 3
-MAX_PATTERNS = 2000
 STEP = 128
 
 
@@ -115,10 +114,23 @@ def with_words(docs: DataFrame) -> DataFrame:
         F.concat(left(s), F.lit(" "), shape(s["value"])).alias("pattern"), seed(s).alias("kind")))).drop("_words")
 
 
-def learned_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT,
-                     most: int = MAX_PATTERNS) -> DataFrame:
-    """``pattern`` and ``kind`` of the patterns that end with a high confidence; at most ``most``, the best first."""
-    rows = with_words(with_base_spans(docs)).select(F.explode("words").alias("w")).select("w.pattern", "w.value", "w.kind")
+def _texts(docs: DataFrame) -> DataFrame:
+    """Adds two hashes that name a text."""
+    return docs.withColumns({"_k1": F.xxhash64("_text"), "_k2": F.xxhash64(F.lit(1), "_text")})
+
+
+def text_words(docs: DataFrame) -> DataFrame:
+    """The words of all different texts, one in a row, as a written table."""
+    return stored(_texts(with_words(with_base_spans(docs))).select("_k1", "_k2", F.explode("words").alias("w"))
+                  .select("_k1", "_k2", "w.*").distinct(), "words")
+
+
+def learned_patterns(docs: DataFrame, **options) -> DataFrame:
+    """``pattern`` and ``kind`` of all patterns that end with a high confidence, as a written table."""
+    return _learned(text_words(docs), **options)
+
+
+def _learned(rows: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     graph = stored(rows.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pattern-graph")
     score = F.col("kind").isNotNull().cast("double")
     patterns = None
@@ -130,22 +142,20 @@ def learned_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float =
             scored = graph.withColumn("score", score)
         patterns = stored(scored.groupBy("pattern").agg(
             (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count("kind").alias("seeds"), F.mode("kind", True).alias("kind")), "patterns")
-    return (patterns.where((F.col("confidence") >= confidence) & (F.col("seeds") >= support) & ~F.col("pattern").startswith(" "))
-            .orderBy(F.desc("confidence"), F.desc("seeds"), "pattern").limit(most).select("pattern", "kind"))
+    return stored(patterns.where((F.col("confidence") >= confidence) & (F.col("seeds") >= support) & ~F.col("pattern").startswith(" "))
+                  .select("pattern", "kind"), "learned")
 
 
 def with_spans(docs: DataFrame, **options) -> DataFrame:
     """The documents with ``base`` and ``spans``, structs of start, kind number and end; ``spans`` has the learned ones too."""
     names = docs.columns
-    best = learned_patterns(docs, **options).collect()  # at most ``most`` rows
-    out = with_words(with_base_spans(docs))
+    words = text_words(docs)
+    fresh = words.where(F.col("kind").isNull()).drop("kind").join(_learned(words, **options), "pattern")
+    more = stored(fresh.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "kind", "end")).alias("_more")), "learned-spans")
     slim = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    more = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    if best:
-        kinds = F.create_map(*[x for r in sorted(best, key=lambda r: r["pattern"]) for x in (F.lit(r["pattern"]), F.lit(int(r["kind"])))])
-        fresh = F.filter("words", lambda w: w["kind"].isNull() & F.map_contains_key(kinds, w["pattern"]))
-        more = F.transform(fresh, lambda w: F.struct(w["start"].alias("start"), F.element_at(kinds, w["pattern"]).alias("kind"), w["end"].alias("end")))
-    return out.select(*[f"`{n}`" for n in names], slim(F.col("base")).alias("base"), F.array_sort(F.concat(slim(F.col("base")), more)).alias("spans"))
+    out = _texts(with_base_spans(docs)).withColumn("base", slim(F.col("base"))).join(more, ["_k1", "_k2"], "left")
+    spans = F.when(F.col("_more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "_more")))
+    return out.select(*[f"`{n}`" for n in names], "base", spans.alias("spans"))
 
 
 def counted(spans: str, kind: str) -> Column:

@@ -253,3 +253,12 @@ def test_personal_data(spark, docs):
     seeds = [(i, f"Call reaches 4111 1111 1111 1111 or owner 4{i:03d}111111111111 now") for i in range(40)]
     found = pii.with_spans(spark.createDataFrame(seeds, "doc_id long, text string"), confidence=0.05, support=1).first()
     assert len(found.spans) >= len(found.base)
+
+
+def test_all_learned_patterns_are_used(spark):
+    key = lambda p: "k" + "".join("abcdefghij"[int(d)] for d in f"{p:04d}")
+    seeds = [(f"{p}.{k}", f"{key(p)} 4{k}11111111111{p:04d}x end") for p in range(2100) for k in range(10)]
+    fresh = [(f"{p}", f"{key(p)} 4999{p:04d}x end") for p in range(2100)]  # too short for a card, same shape; each key has one valid card
+    frame = spark.createDataFrame(seeds + fresh, "doc_id string, text string")
+    got = pii.with_spans(frame, confidence=0.05, support=1).where("doc_id not like '%.%'").collect()
+    assert len(got) == 2100 and all([(s.start, s.end) for s in r.spans] == [(6, 15)] for r in got)
