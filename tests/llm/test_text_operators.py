@@ -257,8 +257,32 @@ def test_personal_data(spark, docs):
 
 def test_all_learned_patterns_are_used(spark):
     key = lambda p: "k" + "".join("abcdefghij"[int(d)] for d in f"{p:04d}")
-    seeds = [(f"{p}.{k}", f"{key(p)} 4{k}11111111111{p:04d}x end") for p in range(2100) for k in range(10)]
-    fresh = [(f"{p}", f"{key(p)} 4999{p:04d}x end") for p in range(2100)]  # too short for a card, same shape; each key has one valid card
+    seeds = [(f"{p}.{k}", f"{key(p)} 4{k}11111111111{p:04d} end") for p in range(2100) for k in range(10)]
+    fresh = [(f"{p}", f"{key(p)} 4999{p:04d} end") for p in range(2100)]  # too short for a card, same shape; each key has one valid card
     frame = spark.createDataFrame(seeds + fresh, "doc_id string, text string")
     got = pii.with_spans(frame, confidence=0.05, support=1).where("doc_id not like '%.%'").collect()
-    assert len(got) == 2100 and all([(s.start, s.end) for s in r.spans] == [(6, 15)] for r in got)
+    assert len(got) == 2100 and all([(s.start, s.end) for s in r.spans] == [(6, 14)] for r in got)
+
+
+def test_unseen_identifiers_are_found(spark):
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:03d}")
+
+    def card(i):
+        body = f"41112222{i:07d}"
+        return body + str(-sum(sum(divmod(int(d) * (2 - k % 2), 10)) for k, d in enumerate(body)) % 10)
+
+    blocks = lambda c: " ".join(c[k:k + 4] for k in range(0, 16, 4))
+    wrong = lambda c: c[:-1] + str((int(c[-1]) + 1) % 10)
+    rows = []
+    for i in range(40):
+        mail = f"{name(i)}@{name(i + 1)}.org"
+        rows += [f"Kontakt: {mail} bitte", f"{mail} wrote this", f"card {blocks(card(i))} was used", f"Room 12 4x {mail} end", f"mailbox ({name(i)}.{'x' * 70}@{mail[4:]})"]
+    planted = [("Kontakt: anna@host bitte", "anna@host"), ("Kontakt: anna at host bitte", "anna at host"), ("anna@host wrote this", "anna@host"),
+               (f"card {blocks(wrong(card(77)))} was used", blocks(wrong(card(77)))), ("Room 12 4x anna@host end", "anna@host"),
+               (f"mailbox ({'y' * 80}@host).", "y" * 80 + "@host"), ("please look at this room 12 of 1990", None)]
+    frame = spark.createDataFrame(list(enumerate(rows + [t for t, _ in planted])), "doc_id long, text string")
+    got = {r.text: [(s.kind, r.text[s.start:s.end]) for s in r.spans] for r in pii.with_spans(frame).collect()}
+    for text, value in planted:
+        assert [v for _, v in got[text]] == ([value] if value else []), text
+    assert got[planted[0][0]][0][0] == 0 and got[planted[3][0]][0][0] == 2
+    assert all(len(got[t]) == 1 for t in rows)
