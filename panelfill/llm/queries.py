@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelfill.llm import (
-    chat, decontaminate, lexicon_bpe, line_crf, order_minhash, pii, quality_rules, suffix_levels, token_files, url_rules)
+    chat, decontaminate, lexicon_bpe, line_crf, order_minhash, pii, quality_rules, spelling, suffix_levels, target_resampling, token_files,
+    url_rules, window_repeats)
 from panelfill.llm.common import table
 from panelfill.sources.storage import scratch_path
 
@@ -170,3 +171,87 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [pii.counted("base", kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
+# The remainders of one byte, and the checksum of a text from them.
+_CRC_TABLE = """
+bytes AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS c
+          FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def _crc(text: str) -> str:
+    raw = f"list_transform(range(CAST(length(hex(encode({text}))) // 2 AS BIGINT)), lambda p: CAST('0x' || substr(hex(encode({text})), 2 * p + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce([4294967295] || {raw}, lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH {_CRC_TABLE.strip()},
+docs AS ({_WORDS.format(id='doc_id', table='documents')}), aim AS ({_WORDS.format(id='item_id', table='benchmark')}),
+numbered AS (SELECT row_number() OVER () AS r, doc_id, w FROM docs),
+doc_words AS (SELECT r, unnest(w) AS word FROM numbered), aim_words AS (SELECT unnest(w) AS word FROM aim),
+hashed AS MATERIALIZED (SELECT word, {_crc('word')} % 10000 AS bucket
+                        FROM (SELECT word FROM doc_words UNION SELECT word FROM aim_words), bytes),
+counted AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM (
+  SELECT bucket, 1 AS s, 0 AS t FROM doc_words JOIN hashed USING (word) UNION ALL
+  SELECT bucket, 0, 1 FROM aim_words JOIN hashed USING (word)) GROUP BY bucket),
+gained AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE))
+                  / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM counted),
+weights AS (SELECT r, sum(gain) AS weight FROM doc_words JOIN hashed USING (word) JOIN gained USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5)
+                       / 4294967296.0))) AS BIGINT) AS score FROM numbered LEFT JOIN weights USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (r)"""
+
+
+@query("op11_target_resampling", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = target_resampling.with_score(docs, table(spark, sf_dir, "benchmark"))
+    return target_resampling.with_rank(scored.select("doc_id", "n_features", "weight", "score"))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE.strip()},
+found AS (SELECT doc_id, word, count(*) AS n FROM (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS word
+  FROM documents) GROUP BY ALL),
+hashed AS MATERIALIZED (SELECT word, n, {_crc("doc_id || ':' || word")} AS h FROM found, bytes WHERE length(word) >= 6),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(word, 1, CAST(h % length(word) AS BIGINT)) || substr(word, CAST(h % length(word) + 2 AS BIGINT)) ELSE word END AS word, n FROM hashed),
+vocabulary AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS left_over FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+changed AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.left_over = b.left_over AND a.i = b.i AND a.word <> b.word),
+shorter AS (SELECT DISTINCT h.word, h.n, v.word AS near, v.n AS near_n FROM holes h JOIN vocabulary v ON v.word = h.left_over),
+pairs AS (SELECT word, near, near_n FROM changed UNION ALL SELECT word, near, near_n FROM shorter UNION ALL SELECT near, word, n FROM shorter),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS near_n FROM pairs GROUP BY word),
+firsts AS (SELECT p.word, min(p.near) AS near, max(b.near_n) AS near_n, max(b.n_near) AS n_near FROM pairs p JOIN best b ON b.word = p.word AND b.near_n = p.near_n GROUP BY p.word),
+judged AS MATERIALIZED (SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form,
+                  CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM vocabulary v LEFT JOIN firsts f ON f.word = v.word),
+steps AS (SELECT word, form AS root, 1 AS k FROM judged WHERE form IS NOT NULL
+          UNION ALL SELECT s.word, j.form, s.k + 1 FROM steps s JOIN judged j ON j.word = s.root WHERE j.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, k) AS root FROM steps GROUP BY word)
+SELECT j.word, form, coalesce(root, j.word) AS root, n, n_near, form_n FROM judged j LEFT JOIN roots r ON r.word = j.word"""
+
+
+@query("op12_spelling_variants", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.with_forms(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+OP13_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS d, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS MATERIALIZED (SELECT r, d, i, array_to_string(w[i:i + 12], ' ') AS words FROM (SELECT r, d, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)),
+late AS (SELECT r, i FROM (SELECT r, d, i, min(d) OVER (PARTITION BY words) AS least FROM windows) WHERE least < d),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM late),
+held AS (SELECT w.r, w.p, w.word FROM (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM docs) w LEFT JOIN gone g ON g.r = w.r AND g.p = w.p WHERE g.p IS NULL),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS words FROM held GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)"""
+
+
+@query("op13_window_repeats", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = window_repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
