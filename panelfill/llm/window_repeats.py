@@ -31,7 +31,6 @@ from panelfill.llm.common import SpanHasher, byte_values, covered, mixed, runs,
 WINDOW = 13
 CHUNK = 16 << 20  # bytes of text whose windows a task compares at once
 BLOCK = 2 << 20   # bytes of text that are hashed at once
-BUCKETS = 16      # of hashes, a partition of the exchange: enough for even partitions
 SENT = "bucket int, hash array<long>, _d array<long>, _own array<int>, span array<long>"
 LAST = np.iinfo(np.int64).max
 SEPARATORS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -71,8 +70,7 @@ class Words:
 def _keyed(docs: DataFrame) -> DataFrame:
     """``_d``: the document's number in the order of documents; ``_own``: a hash of its text, so that rows of one
     number are told apart and a number with very many rows is no single key."""
-    return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_own": F.hash("text"),
-                             "_text": F.col("text").cast("string")})
+    return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_own": F.hash("text")})
 
 
 def _sent(n: int, chunk: int, buckets: int):
@@ -135,9 +133,9 @@ def _sent(n: int, chunk: int, buckets: int):
 def repeated(docs: DataFrame, n: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
     """``_d``, ``_own``, ``hashes`` (repeated windows) and ``spans`` (intervals) of every document that has any."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS * partitions
-    sent = (_keyed(docs).select("_d", "_own", "_text").mapInArrow(_sent(n, chunk, buckets), SENT)
-            .repartition(partitions, "bucket").select("bucket", F.inline(F.arrays_zip("hash", "_d", "_own", "span"))))
+    # One bucket a partition: many windows of a document then stand side by side, so that its number costs next to nothing.
+    sent = (_keyed(docs).select("_d", "_own", F.col("text").cast("string").alias("_text")).mapInArrow(_sent(n, chunk, partitions), SENT)
+            .repartitionById(partitions, "bucket").select("bucket", F.inline(F.arrays_zip("hash", "_d", "_own", "span"))))
     least = F.min(F.when(F.col("span") == 0, F.col("_d"))).over(W.partitionBy("bucket", "hash"))
     late = sent.withColumn("_least", least).where((F.col("span") != 0) | (F.col("_least") < F.col("_d")))
     return late.groupBy("_d", "_own").agg(
@@ -155,12 +153,13 @@ def without_repeats(docs: DataFrame, n: int = WINDOW, chunk: int = CHUNK) -> Dat
     fields = [f for f in docs.schema.fields if f.name not in ("n_words", "removed", "kept", "_d", "_own", "_text", "hashes", "spans")]
     names = [f.name for f in fields]
     own = _keyed(docs.select(*[f"`{c}`" for c in names]))
-    joined = own.join(repeated(docs, n, chunk), ["_d", "_own"], "left").select(*[f"`{c}`" for c in names], "_text", "hashes", "spans")
+    # The text moves once; what is cast from it is worked out behind the join.
+    joined = own.join(repeated(docs, n, chunk), ["_d", "_own"], "left").select(*[f"`{c}`" for c in names], "hashes", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, values = SpanHasher(), byte_values(13)
         for batch in batches:
-            column = batch.column("_text")
+            column = pc.cast(batch.column("text"), pa.string())
             late, spans = batch.column("hashes"), batch.column("spans")
             for lo, hi in text_slices(column, BLOCK):
                 words = Words(column.slice(lo, hi - lo))
