@@ -102,12 +102,45 @@ def knn_grid(spark, sf):
 
 
 
-
 @query("filled_chained")
 def filled_chained(spark, sf):
     return rounded(chained.impute_chained(tb.working_set(spark, sf), by="Station"))
 
 
+@query("filled_chained_by_feature")
+def filled_chained_by_feature(spark, sf):
+    """As many series a regression as there are stations."""
+    return rounded(chained.impute_chained(tb.working_set(spark, sf)))
+
+
+def _round_sql() -> dict[str, str]:
+    """One round over the (up to) three series of a station, fewest gaps first; normal equations of two predictors, penalty 1."""
+    def step(k: int) -> str:
+        a, b = [i for i in (1, 2, 3) if i != k]
+        s = {f"s{x}{y}": f"(count(*) * covar_pop(z{x}, z{y}))" for x, y in ((a, a), (b, b), (a, b), (a, k), (b, k))}
+        det = f"(({s[f's{a}{a}']} + 1) * ({s[f's{b}{b}']} + 1) - {s[f's{a}{b}']} ** 2)"
+        wa = f"(({s[f's{b}{b}']} + 1) * {s[f's{a}{k}']} - {s[f's{a}{b}']} * {s[f's{b}{k}']}) / {det}"
+        wb = f"(({s[f's{a}{a}']} + 1) * {s[f's{b}{k}']} - {s[f's{a}{b}']} * {s[f's{a}{k}']}) / {det}"
+        kept = ", ".join(f"z{i}, v{i}" for i in (1, 2, 3) if i != k)
+        return (f"SELECT c.Station, Date, {kept}, v{k}, CASE WHEN v{k} IS NULL AND w.Station IS NOT NULL THEN my + wa * (z{a} - ma) + wb * (z{b} - mb) ELSE z{k} END AS z{k} "
+                f"FROM chain_{k - 1} c LEFT JOIN (SELECT Station, avg(z{k}) AS my, avg(z{a}) AS ma, avg(z{b}) AS mb, {wa} AS wa, {wb} AS wb "
+                f"FROM chain_{k - 1} WHERE v{k} IS NOT NULL GROUP BY Station) w ON w.Station = c.Station")
+    series = ("SELECT Station, Feature, avg(Value_missing) AS mean, row_number() OVER (PARTITION BY Station ORDER BY count(*) - count(Value_missing), Feature) AS k "
+              "FROM prepared GROUP BY Station, Feature")
+    placed = ", ".join(f"max(p.Value_missing - s.mean) FILTER (s.k = {i}) AS v{i}" for i in (1, 2, 3))
+    wide = f"SELECT p.Station, p.Date, {placed} FROM prepared p JOIN chain_series s ON s.Station = p.Station AND s.Feature = p.Feature GROUP BY p.Station, p.Date"
+    start = "SELECT *, " + ", ".join(f"coalesce(v{i}, 0) AS z{i}" for i in (1, 2, 3)) + " FROM chain_wide"
+    return {"chain_series": series, "chain_wide": wide, "chain_0": start, **{f"chain_{k}": step(k) for k in (1, 2, 3)}}
+
+
+@query("chained_round", "SELECT p.Date, p.Station, p.Feature, round(p.Value, 6) + 0.0 AS Value, missing, "
+       "round(coalesce(p.Value_missing, s.mean + CASE s.k WHEN 1 THEN z1 WHEN 2 THEN z2 ELSE z3 END), 6) + 0.0 AS Value_missing FROM prepared p "
+       "JOIN chain_series s ON s.Station = p.Station AND s.Feature = p.Feature JOIN chain_3 c ON c.Station = p.Station AND c.Date = p.Date", **_round_sql())
+def chained_round(spark, sf):
+    """A single round with a fixed penalty has a closed form."""
+    return rounded(chained.impute_chained(tb.working_set(spark, sf), by="Station", max_iter=1, penalty=1.0))
+
+
 @query("filled_boosted_trees")
 def filled_boosted_trees(spark, sf):
     p = tb.group_working_set(spark, sf)

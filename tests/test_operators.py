@@ -88,14 +88,28 @@ def test_knn_rank_handles_ties():
     assert neighbours.nearest_columns(d, 2).tolist() == [[1, 0], [3, 0]]
 
 
-def test_chained_rounds_equal_plain_regressions(spark):
-    x = random_matrix(80, 4, 0.2, 2)
+@pytest.mark.parametrize("rows, cols, budget, block_cells, open_steps", [
+    (80, 4, 1 << 21, 1 << 17, 1024),  # a round in one stage
+    (80, 4, 60, 50, 2),               # a regression or two a stage, many blocks, blocks written out again
+    (300, 3, 40, 90, 1024),           # rows folded into triangular factors
+    (12, 18, 1 << 21, 1 << 17, 1024)])  # fewer rows than series
+def test_chained_rounds_equal_plain_regressions(spark, monkeypatch, rows, cols, budget, block_cells, open_steps):
+    monkeypatch.setattr(chained, "OPEN_STEPS", open_steps)
+    x = random_matrix(rows, cols, 0.2, 2)
+    got = matrix_of(chained.impute_chained(matrix_panel(spark, x), "Value", max_iter=3, budget=budget, block_cells=block_cells))
+    assert np.allclose(got, ridge_reference(x, 3), atol=1e-6)
+
+
+def test_chained_rounds_end_early_and_keep_what_no_series_tells(spark):
+    x = random_matrix(60, 4, 0.2, 2)
     want = ridge_reference(x, 10)
-    p = matrix_panel(spark, x)
-    together = matrix_of(chained.impute_chained(p, "Value"))
-    spread = matrix_of(chained.impute_chained(p, "Value", task_cells=0))
-    assert np.allclose(together, want, atol=1e-6)
-    assert np.allclose(spread, together, atol=1e-8)
+    assert np.allclose(matrix_of(chained.impute_chained(matrix_panel(spark, x), "Value")), want, atol=1e-6)
+    empty = np.concatenate([x, np.full((60, 1), np.nan)], axis=1)
+    got = matrix_of(chained.impute_chained(matrix_panel(spark, empty), "Value"))
+    assert np.allclose(got[:, :4], want, atol=1e-6) and np.isnan(got[:, 4]).all()
+    alone = panel(spark, {("a", "f"): [1, None, 3], ("b", "g"): [None, None, None]})
+    assert values(chained.impute_chained(alone, "Value")) == {("a", "f"): [1, 2, 3], ("b", "g"): [None, None, None]}
+    assert chained.impute_chained(alone.limit(0), "Value").count() == 0
 
 
 def test_warping_distance_over_many_chunks(spark, monkeypatch):
