@@ -83,6 +83,19 @@ def test_knn_equals_brute_force(spark, weights):
     assert np.allclose(got, knn_reference(x, 4, weights))
 
 
+def test_knn_ships_only_tiles_that_may_hold_a_nearer_donor(spark, monkeypatch):
+    """A slow wave: dates far apart in level cannot be neighbours. Same donors as brute force, fewer pairs of tiles."""
+    rng = np.random.default_rng(4)
+    x = np.linspace(0, 30, 300)[:, None] + rng.normal(size=(300, 4)) * 0.3
+    x[rng.random(x.shape) < 0.1] = np.nan
+    shipped = []
+    search = neighbours._searched
+    monkeypatch.setattr(neighbours, "_searched", lambda a, b, pairs, k: shipped.append(pairs.count()) or search(a, b, pairs, k))
+    got = matrix_of(neighbours.impute_knn(matrix_panel(spark, x), "Value", k=3, tile_rows=20))
+    assert np.allclose(got, knn_reference(x, 3, "uniform"))
+    assert shipped[0] == 15 and sum(shipped) < 0.4 * 15 * 15
+
+
 def test_knn_rank_handles_ties():
     d = np.array([[1.0, 0.0, 1.0, 1.0], [2.0, 2.0, 2.0, 1.0]])
     assert neighbours.nearest_columns(d, 2).tolist() == [[1, 0], [3, 0]]
@@ -215,7 +228,7 @@ def test_cells_without_a_key_stay(spark):
             (h.START, None, "f", 5.0), (None, "a", "f", None), (h.START, "a", None, None)]
     p = spark.createDataFrame(rows, "Date timestamp_ntz, Station string, Feature string, Value_missing double")
     from panelfill.operators import fill
-    for method in (fill.impute_mean, fill.impute_ffill, fill.impute_linear):
+    for method in (fill.impute_mean, fill.impute_ffill, fill.impute_linear, neighbours.impute_knn, chained.impute_chained):
         out = method(p).collect()
         keyed = [r for r in out if r["Date"] and r["Station"] and r["Feature"]]
         assert len(out) == len(rows) and [r["Value_missing"] for r in keyed] == [1.0, 1.0]
