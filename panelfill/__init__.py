@@ -8,8 +8,9 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from panelfill.operators.fill import imputers, impute_grouped, register_imputer, run_methods
+from panelfill.operators.boosted import impute_gbt
 from panelfill.operators.chained import impute_chained
-from panelfill.operators.learned import impute_als, impute_gbt
+from panelfill.operators.learned import impute_als
 from panelfill.operators.neighbours import impute_knn
 from panelfill.operators.pattern import transfer_pattern
 from panelfill.operators.rank import rank_methods

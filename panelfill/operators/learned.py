@@ -1,115 +1,13 @@
-"""Imputers that train a Spark ML model: boosted trees per series and low-rank completion."""
+"""Low-rank completion by Spark's alternating least squares."""
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, functions as F
 
 from panelfill.functions.keys import CELL, SERIES
-from panelfill.operators.masks import sample_split, tuning_target
-from panelfill.operators.neighbours import row_vectors
-from panelfill.operators.reshape import with_partition
 from panelfill.operators.scale import fit_scaler, scale
 from panelfill.operators.scan import cell_join, date_ordinal, ordinal
-from panelfill.sources.storage import stored
-
-COLUMNS_PER_STORED_TABLE = 5
-
-
-def _trees(features: str, label: str, max_depth: int, max_iter: int, step_size: float, subsample: float,
-           colsample: float, seed: int) -> GBTRegressor:
-    share = "all" if colsample >= 1 else str(colsample)
-    return GBTRegressor(featuresCol=features, labelCol=label, predictionCol="_pred", maxDepth=max_depth, maxIter=max_iter,
-                        stepSize=step_size, subsamplingRate=subsample, featureSubsetStrategy=share, seed=seed)
-
-
-def _means(rows: DataFrame) -> DataFrame:
-    """Column means per part as one array (0 for a column without any value)."""
-    return (rows.select("part", F.posexplode("x"))
-            .groupBy("part", "pos").agg(F.coalesce(F.avg("col"), F.lit(0.0)).alias("m"))
-            .groupBy("part").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda e: e["m"]).alias("means")))
-
-
-def _others(cur: str, j: int):
-    """Every column but j, gaps replaced by the column mean: these trees do not take nulls."""
-    filled = F.zip_with(cur, "means", lambda v, m: F.coalesce(v, m))
-    return array_to_vector(F.filter(filled, lambda v, i: i != j))
-
-
-def impute_gbt(p: DataFrame, value: str = "Value_missing", by: str = "Feature", max_iter: int = 20, max_depth: int = 3,
-               step_size: float = 0.1, subsample: float = 1.0, colsample: float = 1.0, seed: int = 42) -> DataFrame:
-    """One boosted model per gapped series on the other series of its part; columns filled earlier serve as filled.
-
-    The loop runs over models, not rows: each training is a distributed job.
-    """
-    named = row_vectors(with_partition(p.select(*CELL, value), by), value)
-    rows = stored(named.select("part", "Date", "names", "x"))
-    parts = rows.groupBy("part").agg(F.first("names").alias("names")).collect()
-    gaps = {(r["part"], r["pos"]): (r["g"], r["s"]) for r in rows.select("part", F.posexplode("x"))
-            .groupBy("part", "pos").agg(F.count_if(F.col("col").isNull()).alias("g"), F.count("col").alias("s")).collect()}
-    state = rows.join(_means(rows), "part").withColumn("cur", F.col("x"))
-    filled = None
-    for r in parts:
-        part, width = r["part"], len(r["names"])
-        mine = state.where(F.col("part") == part)
-        done = 0
-        for j in range(width):
-            n_gaps, n_seen = gaps[(part, j)]
-            if not n_gaps or not n_seen or width < 2:
-                continue
-            design = mine.withColumn("_f", _others("cur", j)).withColumn("_y", F.col("x")[j])
-            model = _trees("_f", "_y", max_depth, max_iter, step_size, subsample, colsample, seed).fit(
-                design.where(F.col("_y").isNotNull()).select("_f", "_y"))
-            put = F.transform("cur", lambda v, i: F.when((i == j) & v.isNull(), F.col("_pred")).otherwise(v))
-            mine = model.transform(design).withColumn("cur", put).drop("_f", "_y", "_pred", "rawPrediction")
-            done += 1
-            if done % COLUMNS_PER_STORED_TABLE == 0:
-                mine = stored(mine)
-        mine = stored(mine)
-        filled = mine if filled is None else filled.unionByName(mine)
-    cells = (filled.select("Date", F.explode(F.arrays_zip("names", F.col("cur").alias("v"))).alias("c"))
-             .select("Date", "c.names.Station", "c.names.Feature", F.col("c.v").alias("_fill")))
-    return (cell_join(p, cells, "left").withColumn(value, F.coalesce(F.col(value), F.col("_fill"))).select(*p.columns))
-
-
-def tune_gbt(p: DataFrame, value: str = "Value_missing", by: str = "Wide", grid: dict | None = None, n_rows: int | None = None,
-             seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """RMSE per setting for the proxy series (the first one with a gap), on its known rows, 80/20; ``n_rows`` draws that many of them first."""
-    grid = grid or {"maxDepth": [3, 5], "maxIter": [10, 20]}
-    target = tuning_target(p, value).first()
-    rows = row_vectors(with_partition(p.select(*CELL, value), by), value)
-    j = F.array_position(F.transform("names", lambda n: F.concat_ws(":", n["Station"], n["Feature"])),
-                         f"{target['Station']}:{target['Feature']}").cast("int")
-    known = rows.withColumn("_j", j).where((F.col("_j") > 0) & F.get("x", F.col("_j") - 1).isNotNull())
-    known = known.join(_means(rows), "part")
-    filled = F.zip_with("x", "means", lambda v, m: F.coalesce(v, m))
-    design = known.select("Date", F.get("x", F.col("_j") - 1).alias("_y"), array_to_vector(
-        F.filter(filled, lambda v, i: i != F.col("_j") - 1)).alias("_f"))
-    split = F.pmod(F.xxhash64(F.lit(seed), "Date"), F.lit(100)) < 80
-    sample = stored(design.withColumn("is_train", split) if n_rows is None else sample_split(design, n_rows, 0.8, seed))
-    trees = _trees("_f", "_y", 3, 10, 0.1, 1.0, 1.0, seed)
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(trees.getParam(name), values)
-    settings = builder.build()
-    score = RegressionEvaluator(labelCol="_y", predictionCol="_pred", metricName="rmse")
-    train, held = sample.where("is_train"), sample.where("not is_train")
-    search = TrainValidationSplit(estimator=trees, estimatorParamMaps=settings, evaluator=score, trainRatio=0.8,
-                                  parallelism=parallelism, seed=seed)
-    fitted = search.fit(train.select("_f", "_y"))
-    best = score.evaluate(fitted.bestModel.transform(held.select("_f", "_y")))
-    names = sorted(grid)
-    out = []
-    for setting, rmse in zip(settings, fitted.validationMetrics):
-        by_name = {k.name: float(v) for k, v in setting.items()}
-        is_best = rmse == min(fitted.validationMetrics)
-        out.append((*[by_name[n] for n in names], float(rmse), float(best) if is_best else None))
-    schema = ", ".join(f"{n} double" for n in names) + ", validation_rmse double, held_out_rmse double"
-    return p.sparkSession.createDataFrame(out, schema)
 
 
 def impute_als(p: DataFrame, value: str = "Value_missing", rank: int = 5, reg: float = 0.1, max_iter: int = 10,

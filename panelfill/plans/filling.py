@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 import panelfill
 from panelfill.functions.keys import CELL, SERIES
-from panelfill.operators import chained, fill, learned, neighbours
+from panelfill.operators import boosted, chained, fill, learned, neighbours
 from panelfill.plans import testbed as tb
 from panelfill.plans.catalog import query, r, rounded
 
@@ -143,13 +143,22 @@ def chained_round(spark, sf):
 
 @query("filled_boosted_trees")
 def filled_boosted_trees(spark, sf):
-    p = tb.group_working_set(spark, sf)
-    return rounded(learned.impute_gbt(p, by="Feature", max_iter=2, max_depth=2))
+    return rounded(boosted.impute_gbt(tb.working_set(spark, sf)))
+
+
+@query("boosted_trees_learn", "SELECT Feature AS part, true AS falls, count(DISTINCT Station) AS n_series FROM prepared GROUP BY Feature")
+def boosted_trees_learn(spark, sf):
+    """Whether the loss over the known cells of all series falls in every round."""
+    p = tb.working_set(spark, sf)
+    before = W.partitionBy("part").orderBy("round")
+    losses = boosted.training_losses(p, max_iter=5).withColumn("_was", F.lag("mse").over(before))
+    fell = losses.groupBy("part").agg(F.every(F.coalesce(F.col("mse") < F.col("_was"), F.lit(True))).alias("falls"))
+    return fell.join(p.groupBy(F.col("Feature").alias("part")).agg(F.countDistinct("Station").alias("n_series")), "part")
 
 
 @query("boosted_trees_grid")
 def boosted_trees_grid(spark, sf):
-    return learned.tune_gbt(tb.group_working_set(spark, sf), grid={"maxDepth": [2, 3], "maxIter": [2, 4]})
+    return rounded(boosted.tune_gbt(tb.working_set(spark, sf), by="Feature"))
 
 
 @query("filled_low_rank")

@@ -8,7 +8,7 @@ import panelfill
 from helpers import (START, dtw_reference, knn_reference, matrix_of, matrix_panel, panel, random_matrix, ridge_reference,
                      ssim_reference, values)
 from panelfill.functions.keys import CELL, SERIES
-from panelfill.operators import chained, clean, fill, gaps, masks, neighbours, pattern, quality, rank, reshape, scale, score, similarity, windows
+from panelfill.operators import boosted, chained, clean, fill, gaps, masks, neighbours, pattern, quality, rank, reshape, scale, score, similarity, windows
 from panelfill.sources import panel_io
 
 N = None
@@ -125,6 +125,81 @@ def test_chained_rounds_end_early_and_keep_what_no_series_tells(spark):
     assert chained.impute_chained(alone.limit(0), "Value").count() == 0
 
 
+def test_best_split_equals_brute_force():
+    rng = np.random.default_rng(8)
+    for penalty in (0.0, 1.0, 5.0):
+        bins, g = rng.integers(0, boosted.BINS + 1, size=(60, 3)), rng.normal(size=60)
+        sums = np.zeros((2, 1, 3, boosted.BINS + 1))
+        for row, grad in zip(bins, g):
+            for j, b in enumerate(row):
+                sums[:, 0, j, b] += grad, 1
+        best = (0, None)
+        for j in range(3):
+            for cut in range(boosted.BINS):
+                for null_left in (False, True):
+                    left = np.where(bins[:, j] == boosted.BINS, null_left, bins[:, j] <= cut)
+                    if left.any() and not left.all():
+                        part = lambda m: g[m].sum() ** 2 / (m.sum() + penalty)
+                        best = max(best, (part(left) + part(~left) - part(np.ones(60, bool)), (left.tobytes(), -g[left].sum() / (left.sum() + penalty))))
+        node, j, cut, null_left, weight, _ = boosted.best_splits(sums, penalty)[0]
+        left = np.where(bins[:, int(j)] == boosted.BINS, null_left > 0, bins[:, int(j)] <= cut)
+        assert left.tobytes() == best[1][0] and np.isclose(weight, best[1][1])
+
+
+def boosted_reference(x: np.ndarray, rounds: int, depth: int, rate: float, penalty: float) -> np.ndarray:
+    """Trees grown one by one on exhaustive splits between bins, nulls either way."""
+    out = x.copy()
+    shares = np.arange(1, boosted.BINS) / boosted.BINS
+    cuts = [np.unique(np.sort(c[~np.isnan(c)])[np.maximum(np.ceil(shares * (~np.isnan(c)).sum()).astype(int) - 1, 0)]) for c in x.T]
+    bins = np.array([np.where(np.isnan(c), -1, np.searchsorted(u, c, "left")) for c, u in zip(x.T, cuts)]).T
+
+    def grow(rows, fit, grad, level, j):
+        w = -grad[fit].sum() / (fit.sum() + penalty)
+        best = (1e-12, None)
+        if level < depth:
+            for f in (f for f in range(x.shape[1]) if f != j):
+                for null_left in (False, True):
+                    for cut in range(boosted.BINS):
+                        left = np.where(bins[:, f] < 0, null_left, bins[:, f] <= cut)
+                        a, b = fit & left, fit & ~left
+                        if a.any() and b.any():
+                            score = lambda m: grad[m].sum() ** 2 / (m.sum() + penalty)
+                            gain = score(a) + score(b) - score(fit)
+                            if gain > best[0] + 1e-9:
+                                best = (gain, left)
+        if best[1] is None:
+            return np.where(rows, w, 0.0)
+        return grow(rows & best[1], fit & best[1], grad, level + 1, j) + grow(rows & ~best[1], fit & ~best[1], grad, level + 1, j)
+
+    every = np.ones(len(x), bool)
+    for j in range(x.shape[1]):
+        known = ~np.isnan(x[:, j])
+        fit = np.full(len(x), x[known, j].mean())
+        for _ in range(rounds):
+            fit = fit + rate * grow(every, known, np.where(known, fit - np.where(known, x[:, j], 0), 0.0), 0, j)
+        out[~known, j] = fit[~known]
+    return out
+
+
+@pytest.mark.parametrize("block_cells", [1 << 17, 60])
+def test_boosted_trees_equal_trees_grown_one_by_one(spark, monkeypatch, block_cells):
+    monkeypatch.setattr(boosted.Boosted.__init__, "__defaults__", (None, None, block_cells))
+    x = random_matrix(70, 4, 0.25, 5)
+    got = matrix_of(boosted.impute_gbt(matrix_panel(spark, x), "Value", max_iter=3, max_depth=2, step_size=0.3, reg_lambda=0.5))
+    assert np.allclose(got, boosted_reference(x, 3, 2, 0.3, 0.5), atol=1e-6)
+
+
+def test_boosted_trees_learn_and_tune(spark):
+    p = matrix_panel(spark, random_matrix(120, 5, 0.2, 6))
+    losses = [r.mse for r in boosted.training_losses(p, "Value", max_iter=4).orderBy("round").collect()]
+    assert len(losses) == 5 and all(b < a for a, b in zip(losses, losses[1:]))
+    tuned = boosted.tune_gbt(p, "Value", grid={"maxDepth": [1, 3], "maxIter": [2, 4]}).collect()
+    by = {(r.maxDepth, r.maxIter): r for r in tuned}
+    assert len(by) == 4 and by[3, 4].train_rmse < by[1, 2].train_rmse and all(r.held_out_rmse > 0 for r in tuned)
+    one = boosted.impute_gbt(p, "Value", max_iter=2, subsample=0.7, colsample=0.5)
+    assert one.where("Value IS NULL").count() == 0 and one.subtract(boosted.impute_gbt(p, "Value", max_iter=2, subsample=0.7, colsample=0.5)).count() == 0
+
+
 def test_warping_distance_over_many_chunks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=70).cumsum(), rng.normal(size=70).cumsum()
@@ -228,7 +303,7 @@ def test_cells_without_a_key_stay(spark):
             (h.START, None, "f", 5.0), (None, "a", "f", None), (h.START, "a", None, None)]
     p = spark.createDataFrame(rows, "Date timestamp_ntz, Station string, Feature string, Value_missing double")
     from panelfill.operators import fill
-    for method in (fill.impute_mean, fill.impute_ffill, fill.impute_linear, neighbours.impute_knn, chained.impute_chained):
+    for method in (fill.impute_mean, fill.impute_ffill, fill.impute_linear, neighbours.impute_knn, chained.impute_chained, lambda p: boosted.impute_gbt(p, max_iter=1)):
         out = method(p).collect()
         keyed = [r for r in out if r["Date"] and r["Station"] and r["Feature"]]
         assert len(out) == len(rows) and [r["Value_missing"] for r in keyed] == [1.0, 1.0]
