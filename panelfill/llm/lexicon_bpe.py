@@ -150,7 +150,10 @@ def frequent_words(docs: DataFrame, size: int = LEXICON_WORDS) -> DataFrame:
         for batch in batches:
             column = batch.column("text")
             for lo, hi in text_slices(column, BLOCK):
-                block = "\0".join(t for t in column.slice(lo, hi - lo).to_pylist() if t and splitter.simple(t)) + "\0"
+                texts = [t for t in column.slice(lo, hi - lo).to_pylist() if t and splitter.simple(t)]
+                block = "\0".join(texts) + "\0"
+                if not splitter.sure(splitter.codes(block)):  # texts with a doubtful character go to the library whole
+                    block = "\0".join(t for t in texts if splitter.sure(splitter.codes(t))) + "\0"
                 starts, ends, found = splitter.words(splitter.codes(block))
                 own, where, n = np.unique(found, return_index=True, return_counts=True)
                 hashes, back = np.unique(np.concatenate([hashes, own]), return_inverse=True)
