@@ -9,6 +9,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from panelfill.operators.fill import imputers, impute_grouped, register_imputer, run_methods
 from panelfill.operators.boosted import impute_gbt
+from panelfill.operators.centroid import impute_centroid
 from panelfill.operators.chained import impute_chained
 from panelfill.operators.learned import impute_als
 from panelfill.operators.neighbours import impute_knn
@@ -20,6 +21,7 @@ register_imputer("knn", impute_knn)
 register_imputer("iterative", impute_chained)
 register_imputer("xgboost", impute_gbt)
 register_imputer("low_rank", impute_als)
+register_imputer("centroid", impute_centroid)
 
-__all__ = ["evaluate", "impute_als", "impute_chained", "impute_gbt", "impute_grouped", "impute_knn", "imputers",
+__all__ = ["evaluate", "impute_als", "impute_centroid", "impute_chained", "impute_gbt", "impute_grouped", "impute_knn", "imputers",
            "rank_methods", "register_imputer", "run_methods", "transfer_pattern"]

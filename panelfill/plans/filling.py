@@ -6,9 +6,10 @@ from pyspark.sql import Window as W, functions as F
 
 import panelfill
 from panelfill.functions.keys import CELL, SERIES
-from panelfill.operators import boosted, chained, fill, learned, neighbours
+from panelfill.operators import boosted, centroid, chained, fill, learned, neighbours, scan
 from panelfill.plans import testbed as tb
 from panelfill.plans.catalog import query, r, rounded
+from panelfill.sources.storage import stored
 
 VM = r("Value_missing")
 
@@ -166,6 +167,40 @@ def filled_low_rank(spark, sf):
     return rounded(learned.impute_als(tb.working_set(spark, sf), rank=3, max_iter=5))
 
 
+@query("filled_centroid")
+def filled_centroid(spark, sf):
+    return rounded(centroid.impute_centroid(tb.working_set(spark, sf)))
+
+
+TRAINED = ["iterative", "low_rank", "centroid"]
+
+
+@query("trained_fills_checked", "SELECT m.method, count(*) AS n_cells, count(*) FILTER (Value_missing IS NULL) AS n_gaps, 0::BIGINT AS n_left, 0::BIGINT AS n_changed "
+       f"FROM prepared CROSS JOIN (SELECT unnest({TRAINED}) AS method) m GROUP BY m.method")
+def trained_fills_checked(spark, sf):
+    """Every gap is filled and no observed cell moves, for the methods that SQL cannot follow."""
+    p = tb.working_set(spark, sf)
+    fills = fill.run_methods(p, TRAINED).withColumnRenamed("Value", "_fill")
+    gap, observed = F.col("Value_missing").isNull(), F.col("Value_missing")
+    return scan.cell_join(fills, p.select(*CELL, "Value_missing")).groupBy("method").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.count_if(gap).alias("n_gaps"), F.count_if(F.col("_fill").isNull()).alias("n_left"),
+        F.count_if(~gap & ~observed.eqNullSafe(F.col("_fill"))).alias("n_changed"))
+
+
+KEYED = ["mean", "ffill", "interpolation", "knn", "iterative"]
+
+
+@query("null_keys_kept", "SELECT m.method, count(*) AS n_cells, count(*) FILTER (missing AND Feature = 'Wind_direction') AS n_without_key, 0::BIGINT AS n_filled "
+       f"FROM prepared CROSS JOIN (SELECT unnest({KEYED}) AS method) m GROUP BY m.method")
+def null_keys_kept(spark, sf):
+    """Cells that lost their station come out of every imputer, unfilled."""
+    lost = F.col("missing") & (F.col("Feature") == "Wind_direction")
+    p = stored(tb.prepared(spark, sf).withColumn("Station", F.when(~lost, F.col("Station"))), "lost-keys")
+    return fill.run_methods(p, KEYED).groupBy("method").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("Station").isNull()).alias("n_without_key"),
+        F.count_if(F.col("Station").isNull() & F.col("Value").isNotNull()).alias("n_filled"))
+
+
 @query("filled_by_plug_in", "SELECT Date, Station, Feature, round(Value, 6) + 0.0 AS Value, missing, "
        "round(coalesce(Value_missing, median(Value_missing) OVER (PARTITION BY Station, Feature)), 6) + 0.0 AS Value_missing FROM prepared")
 def filled_by_plug_in(spark, sf):

@@ -8,7 +8,7 @@ import panelfill
 from helpers import (START, dtw_reference, knn_reference, matrix_of, matrix_panel, panel, random_matrix, ridge_reference,
                      ssim_reference, values)
 from panelfill.functions.keys import CELL, SERIES
-from panelfill.operators import boosted, chained, clean, fill, gaps, masks, neighbours, pattern, quality, rank, reshape, scale, score, similarity, windows
+from panelfill.operators import boosted, centroid, chained, clean, fill, gaps, masks, neighbours, pattern, quality, rank, reshape, scale, score, similarity, windows
 from panelfill.sources import panel_io
 
 N = None
@@ -125,6 +125,44 @@ def test_chained_rounds_end_early_and_keep_what_no_series_tells(spark):
     assert chained.impute_chained(alone.limit(0), "Value").count() == 0
 
 
+def centroid_reference(x: np.ndarray, rank: int, tol: float) -> np.ndarray:
+    """On whole matrices: every centroid by turning one sign at a time, taken out of the rows themselves."""
+    gaps, cols = np.isnan(x), np.arange(len(x))
+    mean, spread = np.nanmean(x, axis=0), np.nanstd(x, axis=0)
+    cur = np.array([np.interp(cols, cols[~np.isnan(c)], c[~np.isnan(c)]) for c in x.T]).T
+    cur = (cur - mean) / spread
+    while True:
+        left, fresh = cur.copy(), np.zeros_like(cur)
+        for _ in range(rank):
+            z = np.ones(x.shape[1])
+            while True:
+                turned = [((left @ np.where(np.arange(len(z)) == i, -z, z)) ** 2).sum() for i in range(len(z))]
+                if max(turned) <= ((left @ z) ** 2).sum() * (1 + 1e-9):
+                    break
+                z[int(np.argmax(turned))] *= -1
+            c = left @ z
+            c /= np.sqrt(c @ c)
+            share = np.outer(c, left.T @ c)
+            fresh, left = fresh + share, left - share
+        moved = np.sqrt(((fresh - cur)[gaps] ** 2).mean())
+        cur[gaps] = fresh[gaps]
+        if moved < tol:
+            return np.where(gaps, cur * spread + mean, x)
+
+
+@pytest.mark.parametrize("block_cells", [1 << 17, 60])
+def test_centroid_completion_equals_whole_matrices(spark, block_cells):
+    x = random_matrix(60, 6, 0.15, 9)
+    got = matrix_of(centroid.impute_centroid(matrix_panel(spark, x), "Value", rank=2, tol=1e-2, block_cells=block_cells))
+    assert np.allclose(got, centroid_reference(x, 2, 1e-2), atol=1e-6)
+
+
+def test_centroid_completion_of_nothing(spark):
+    p = panel(spark, {("a", "f"): [1, None, 3], ("b", "f"): [None, None, None], ("c", "f"): [2, 2, None]})
+    assert values(centroid.impute_centroid(p, "Value"))[("b", "f")] == [None, None, None]
+    assert centroid.impute_centroid(p.limit(0), "Value").count() == 0
+
+
 def test_best_split_equals_brute_force():
     rng = np.random.default_rng(8)
     for penalty in (0.0, 1.0, 5.0):
@@ -303,7 +341,7 @@ def test_cells_without_a_key_stay(spark):
             (h.START, None, "f", 5.0), (None, "a", "f", None), (h.START, "a", None, None)]
     p = spark.createDataFrame(rows, "Date timestamp_ntz, Station string, Feature string, Value_missing double")
     from panelfill.operators import fill
-    for method in (fill.impute_mean, fill.impute_ffill, fill.impute_linear, neighbours.impute_knn, chained.impute_chained, lambda p: boosted.impute_gbt(p, max_iter=1)):
+    for method in (fill.impute_mean, fill.impute_ffill, fill.impute_linear, neighbours.impute_knn, chained.impute_chained, centroid.impute_centroid, lambda p: boosted.impute_gbt(p, max_iter=1)):
         out = method(p).collect()
         keyed = [r for r in out if r["Date"] and r["Station"] and r["Feature"]]
         assert len(out) == len(rows) and [r["Value_missing"] for r in keyed] == [1.0, 1.0]
