@@ -75,7 +75,7 @@ def with_run_metadata(s: DataFrame, run: int, partition_method: str = "wide", sc
 
 
 def evaluate(truth: DataFrame, m: DataFrame, mask: DataFrame | None = None, scaler: DataFrame | None = None,
-             run: int = 1, band: int = 10, with_dtw: bool = True, with_ssim: bool = True, **meta) -> DataFrame:
+             run: int = 1, band: int | None = 10, with_dtw: bool = True, with_ssim: bool = True, **meta) -> DataFrame:
     """The full score table. Fills are brought back to the original units first when a scaler is given.
 
     Whatever partitioning was used to fill, scores are always per feature and station.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelfill.functions.keys import CELL, SERIES
 from panelfill.operators.scan import date_ordinal
+from panelfill.sources.storage import stored
 
 # Fixed values of the similarity index: window edge and stabilising constants.
 EDGE, K1, K2 = 7, 0.01, 0.03
@@ -230,8 +231,74 @@ def _fold(keys: list[str], width: int):
     return fold
 
 
-def dtw(cells: DataFrame, band: int = 10, keys=("method", *SERIES)) -> DataFrame:
-    """Exact banded warping distance (absolute cost) of the hidden cells, in Date order."""
+# Without a band, the whole matrix of a pair of series is cut into square tiles. A tile needs the last row of the tile
+# above it and the last column of the one to its left, so all tiles on one diagonal, of all series, are one job, and
+# what goes from job to job is the edges of that diagonal: two rows a tile, never the matrix.
+
+STEPS_PER_TILE = 1024
+
+
+def _tile_edges(x: np.ndarray, y: np.ndarray, top: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Last row and last column of a tile. Edges begin with the cell across the corner: top[0] == left[0]."""
+    before, right = top, np.empty(len(x) + 1)
+    right[0] = top[-1]
+    for r in range(len(x)):
+        cost = np.abs(x[r] - y)
+        run = np.cumsum(cost)
+        step = np.minimum(before[:-1], before[1:])  # from above, straight or across
+        row = np.empty(len(y) + 1)
+        row[0] = left[r + 1]
+        # Walks along the row: the best way in, less the cost up to there, plus the cost up to here.
+        ways = np.concatenate([[row[0]], step - (run - cost)])
+        row[1:] = np.minimum.accumulate(ways)[1:] + run
+        before, right[r + 1] = row, row[-1]
+    return before, right
+
+
+def _diagonal(batches):
+    for batch in batches:
+        bottoms, rights = [], []
+        for i, j, x, y, above, beside in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "x", "y", "above", "beside"))):
+            corner = 0.0 if i == j == 0 else np.inf
+            top = np.array(above, float) if above is not None else np.concatenate([[corner], np.full(len(y), np.inf)])
+            left = np.array(beside, float) if beside is not None else np.concatenate([[top[0]], np.full(len(x), np.inf)])
+            bottom, right = _tile_edges(np.array(x, float), np.array(y, float), top, left)
+            bottoms.append(bottom)
+            rights.append(right)
+        names = [n for n in batch.schema.names if n not in ("x", "y", "above", "beside")]
+        yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(e, pa.list_(pa.float64())) for e in (bottoms, rights)],
+                                         names=names + ["bottom", "right"])
+
+
+def dtw_unbanded(cells: DataFrame, keys=("method", *SERIES), tile: int = STEPS_PER_TILE) -> DataFrame:
+    """Exact warping distance (absolute cost) over all alignments. The work grows with the square of a series' length."""
+    keys = list(keys)
+    placed = date_ordinal(cells.select(*keys, "Date", "truth", "fill"), keys, total="_total")
+    cell = F.struct(F.col("_pos").alias("pos"), "truth", "fill")
+    parts = stored(placed.groupBy(*keys, "_total", F.floor((F.col("_pos") - 1) / tile).cast("int").alias("i"))
+                   .agg(F.sort_array(F.collect_list(cell)).alias("c")), "warping-segments")
+    rows = parts.select(*keys, "i", F.floor((F.col("_total") - 1) / tile).cast("int").alias("end"), F.transform("c", lambda c: c["truth"]).alias("x"))
+    columns = parts.select(*keys, F.col("i").alias("j"), F.transform("c", lambda c: c["fill"]).alias("y"))
+    schema = f"{', '.join(f'{k} string' for k in keys)}, i int, j int, `end` int, bottom array<double>, right array<double>"
+    longest = rows.agg(F.max("end")).first()[0] or 0
+    edges, out = None, None
+    for wave in range(2 * longest + 1):
+        tiles = rows.withColumn("j", F.lit(wave) - F.col("i")).join(columns, [*keys, "j"])
+        if edges is None:
+            tiles = tiles.withColumns({c: F.lit(None).cast("array<double>") for c in ("above", "beside")})
+        else:
+            tiles = (tiles.join(edges.select(*keys, (F.col("i") + 1).alias("i"), "j", F.col("bottom").alias("above")), [*keys, "i", "j"], "left")
+                     .join(edges.select(*keys, "i", (F.col("j") + 1).alias("j"), F.col("right").alias("beside")), [*keys, "i", "j"], "left"))
+        edges = stored(tiles.select(*keys, "i", "j", "end", "x", "y", "above", "beside").mapInArrow(_diagonal, schema), "warping-edges")
+        done = edges.where((F.col("i") == F.col("end")) & (F.col("j") == F.col("end"))).select(*keys, F.element_at("bottom", -1).alias("dtw_distance"))
+        out = done if out is None else out.unionByName(done) if wave % 2 == 0 else out
+    return out
+
+
+def dtw(cells: DataFrame, band: int | None = 10, keys=("method", *SERIES)) -> DataFrame:
+    """Exact warping distance (absolute cost) of the hidden cells, in Date order: within a band, or of all alignments for None."""
+    if band is None:
+        return dtw_unbanded(cells, keys)
     keys = list(keys)
     width = 2 * band + 1
     if not 0 < band < STEPS_PER_CHUNK:

@@ -250,6 +250,17 @@ def test_warping_distance_over_many_chunks(spark, monkeypatch):
     assert similarity.dtw(cells, 5).first()["dtw_distance"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("tile", [1024, 16, 7])
+def test_warping_distance_without_a_band(spark, tile):
+    rng = np.random.default_rng(5)
+    pairs = {s: (rng.normal(size=n).cumsum(), rng.normal(size=n).cumsum()) for s, n in (("a", 50), ("b", 16), ("c", 1), ("d", 33))}
+    rows = [("m", START + dt.timedelta(days=i), s, "f", float(u), float(v)) for s, (x, y) in pairs.items() for i, (u, v) in enumerate(zip(x, y))]
+    cells = spark.createDataFrame(rows, "method string, Date timestamp_ntz, Station string, Feature string, truth double, fill double")
+    got = {r.Station: r.dtw_distance for r in similarity.dtw_unbanded(cells, tile=tile).collect()}
+    assert got.keys() == pairs.keys()
+    assert all(np.isclose(got[s], dtw_reference(x, y, len(x))) for s, (x, y) in pairs.items())
+
+
 def test_similarity_over_many_tiles(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(30, 12))
