@@ -144,7 +144,11 @@ def validate(df: DataFrame, name: str, index: str | None = None, config: dict |
 
 
 def _data_findings(df: DataFrame, name: str, cfg: dict) -> DataFrame:
-    stats = column_stats(df, cfg)
+    return column_findings(column_stats(df, cfg).withColumn("dataset", F.lit(name)), cfg)
+
+
+def column_findings(stats: DataFrame, cfg: dict) -> DataFrame:
+    """Findings of any number of data sets from their column statistics."""
     n, miss = F.col("n_rows"), F.col("n_missing")
     col = F.col("column")
     pct = miss / n * 100
@@ -164,7 +168,7 @@ def _data_findings(df: DataFrame, name: str, cfg: dict) -> DataFrame:
         (F.col("max").isNotNull(), _finding("range", col, "summary", F.col("max") - F.col("min"), None, F.lit("largest minus smallest value"))),
     ])
     # A few rows per column from here on.
-    whole = stats.agg(
+    whole = stats.groupBy("dataset").agg(
         F.max("n_rows").alias("n_rows"), F.sum("n_missing").alias("n_missing"),
         (F.sum("n_missing") / F.nullif(F.sum("n_rows"), F.lit(0)) * 100).alias("pct"),
         F.max(F.try_divide(miss, n) * 100).alias("worst"))
@@ -183,8 +187,8 @@ def _data_findings(df: DataFrame, name: str, cfg: dict) -> DataFrame:
         (F.lit(True), _finding("max_column_missing_pct", none, "summary", F.round(F.coalesce("worst", F.lit(0.0)), 2), None,
                                F.lit("missing cells of the emptiest column in percent"))),
     ])
-    found = stats.select(F.explode(per_column).alias("f")).unionByName(whole.select(F.explode(overall).alias("f")))
-    return found.select(F.lit(name).alias("dataset"), "f.*")
+    found = stats.select("dataset", F.explode(per_column).alias("f")).unionByName(whole.select("dataset", F.explode(overall).alias("f")))
+    return found.select("dataset", "f.*")
 
 
 def duplicate_keys(df: DataFrame, keys) -> DataFrame:

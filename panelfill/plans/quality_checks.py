@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from panelfill.operators import quality
 from panelfill.plans import testbed as tb
 from panelfill.plans.catalog import query, r, rounded
+from panelfill.sources import panel_io
+from panelfill.sources.storage import scratch_path
 
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -131,3 +133,32 @@ def validation_report(spark, sf):
 def stage_gate(spark, sf):
     rows = [(n, quality.gate(quality.validate(tb.table(spark, sf, n), n))) for n in ("supplier", "region")]
     return spark.createDataFrame(rows, "dataset string, may_run boolean")
+
+
+def _columns_of(table: str, key: str, columns: dict[str, bool]) -> str:
+    """What the folder checks find in a written table: its shape, its key, and the range of each numeric column."""
+    share = f"{sum(columns.values())} / {len(columns)}"
+    one = lambda check, column, level, observed, threshold="NULL": (
+        f"SELECT '{check}' AS \"check\", {column} AS \"column\", '{level}' AS level, round(({observed})::DOUBLE, 6) + 0.0 AS observed, ({threshold})::DOUBLE AS threshold FROM {table}")
+    found = [one("column_count", "NULL", "summary", f"max({len(columns)})"), one("numeric_ratio", "NULL", "summary", f"max(round({share}, 3))"),
+             one("row_count", "NULL", "summary", "count(*)"), one("duplicate_index", f"'{key}'", "summary", f"count(*) - count(DISTINCT {key})"),
+             *[one(c, "NULL", "summary", "max(0)") for c in ("missing_cells", "missing_percentage", "max_column_missing_pct")]]
+    if sum(columns.values()) < 0.8 * len(columns):
+        found.append(one("numeric_ratio", "NULL", "warning", f"max({share})", "0.8"))
+    for c, numeric in columns.items():
+        if numeric:
+            found += [one("min", f"'{c}'", "summary", f"min({c})"), one("max", f"'{c}'", "summary", f"max({c})"), one("range", f"'{c}'", "summary", f"max({c}) - min({c})")]
+    return " UNION ALL ".join(found)
+
+
+@query("folder_validated", " UNION ALL ".join([
+    _columns_of("supplier", "s_suppkey", {"s_name": False, "s_nationkey": True, "s_acctbal": True}),
+    _columns_of("customer", "c_custkey", {"c_name": False, "c_nationkey": True, "c_acctbal": True, "c_mktsegment": False}),
+    _columns_of("part", "p_partkey", {"p_name": False, "p_brand": False, "p_type": False, "p_size": True, "p_retailprice": True})]))
+def folder_validated(spark, sf):
+    """Three tables written as files of one folder and checked together."""
+    folder = scratch_path(spark, "checked-files")
+    for name in ("supplier", "customer", "part"):
+        tb.table(spark, sf, name).coalesce(1).write.mode("append").option("header", True).csv(folder)
+    found = panel_io.validate_folder(spark, folder)
+    return rounded(found.where("`check` <> 'file_size_mb'").select("check", "column", "level", "observed", "threshold"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelfill.functions.keys import (
@@ -131,23 +129,96 @@ def file_findings(spark: SparkSession, folder: str, suffix: str = ".csv", max_mb
     return spark.createDataFrame(rows, RESULT)
 
 
+# A comma outside of quotes.
+COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _csv_lines(spark: SparkSession, folder: str, suffix: str) -> tuple[DataFrame, DataFrame]:
+    """(dataset, fields) of all data lines of a folder's files, and (dataset, names) of the headers: one text scan for
+    all files, of any number and size. Quotes may hold commas, but no line breaks."""
+    text = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder).where("trim(value) <> ''")
+    lines = text.select(F.col("_metadata.file_path").alias("dataset"), F.col("_metadata.file_block_start").alias("_block"),
+                        F.monotonically_increasing_id().alias("_at"), "value")
+    fields = F.transform(F.split("value", COMMA, -1), lambda f: F.regexp_replace(F.regexp_replace(f, '^\\s*"|"\\s*$', ""), '""', '"'))
+    # A file's first line lies in its first block, at the smallest place there.
+    heads = lines.where("_block = 0").groupBy("dataset").agg(F.min("_at").alias("_first"), F.min_by(fields, "_at").alias("names"))
+    data = lines.join(heads.select("dataset", "_first"), "dataset").where(F.col("_at") != F.col("_first"))
+    return data.select("dataset", fields.alias("fields")), heads.select("dataset", "names")
+
+
+def _folder_stats(cells: DataFrame, threshold: float) -> DataFrame:
+    """The column statistics of the table checks for every column of every file, from its cells in long form."""
+    number = F.col("cell").try_cast("double")
+    infinite = F.abs("_v") == float("inf")
+    read = cells.withColumn("_v", F.when(~F.isnan(number), number))
+    level = read.groupBy("dataset", "pos").agg(
+        F.first("name").alias("column"), F.count(F.lit(1)).alias("n_rows"), F.count("cell").alias("n_valid"), F.count("_v").alias("n_parsed"),
+        F.count_if(infinite).alias("n_inf"), F.min("_v").alias("min"), F.max("_v").alias("max"),
+        F.avg("_v").alias("avg"), F.stddev_samp("_v").alias("std"))
+    # A column is numeric if every value in it is a number, as readers infer it; an empty one is, too.
+    level = level.withColumn("is_numeric", F.col("n_parsed") == F.col("n_valid"))
+    far = (F.abs(F.col("_v") - F.col("avg")) > F.col("std") * threshold) & F.col("is_numeric") & (F.col("n_inf") == 0)
+    outside = read.join(level.select("dataset", "pos", "avg", "std", "is_numeric", "n_inf"), ["dataset", "pos"]).groupBy("dataset", "pos").agg(
+        F.count_if(far).alias("n_outliers"))
+    own = lambda c: F.when(F.col("is_numeric"), F.col(c)).alias(c)
+    return level.join(outside, ["dataset", "pos"]).select(
+        "dataset", "column", "is_numeric", (~F.col("is_numeric")).alias("is_text"), "n_rows", (F.col("n_rows") - F.col("n_valid")).alias("n_missing"),
+        own("n_inf"), F.when(~F.col("is_numeric"), F.col("n_parsed")).alias("n_numeric_text"), own("n_outliers"), "n_valid", own("min"), own("max"))
+
+
 def validate_folder(spark: SparkSession, folder: str, suffix: str = ".csv", config: dict | None = None) -> DataFrame:
-    """File checks plus the table checks of every CSV in a folder; the first column is the index."""
-    from panelfill.operators.quality import DEFAULTS, RESULT, validate
+    """File checks plus the table checks of every CSV in a folder; the first column is the index.
+
+    All files go through the same scans and aggregates, so the number of jobs does not depend on the number of files.
+    Cells that are no numbers in a column that mostly holds numbers are counted.
+    """
+    from panelfill.operators.quality import DEFAULTS, RESULT, _finding, _findings, _parses_as_time, column_findings
     cfg = {**DEFAULTS, **(config or {})}
     out = file_findings(spark, folder, suffix, cfg["max_file_size_mb"])
-    for path, _ in list_files(spark, folder, suffix) or []:
-        header = spark.read.text(path).first()
-        names = next(csv.reader([header[0]]), []) if header else []
-        if not names:
-            out = out.unionByName(spark.createDataFrame([(path, "read", None, "error", None, None, "failed to read: no header")], RESULT))
-            continue
-        if len(set(names)) != len(names):
-            dup = sorted({c for c in names if names.count(c) > 1})
-            rows = [(path, "duplicate_column", c, "error", float(names.count(c)), 1.0, f"duplicate column name: {c}") for c in dup]
-            out = out.unionByName(spark.createDataFrame(rows, RESULT))
-            continue
-        df = spark.read.option("header", True).option("inferSchema", True).csv(path)
-        df = df.toDF(*[n or f"Unnamed: {i}" for i, n in enumerate(names)])
-        out = out.unionByName(validate(df, path, df.columns[0], cfg))
-    return out
+    files = list_files(spark, folder, suffix)
+    if not files:
+        return out
+    lines, heads = _csv_lines(spark, folder, suffix)
+    named = heads.withColumn("names", F.transform("names", lambda n, i: F.when(n == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(n)))
+    columns = F.slice("names", 2, F.greatest(F.size("names") - 1, F.lit(0)))
+    twice = F.array_distinct(F.filter("names", lambda n: F.size(F.filter("names", lambda m: m == n)) > 1))
+    none, some = F.lit(None), lambda level, observed, threshold, message, check, column: _finding(check, column, level, observed, threshold, F.lit(message))
+    unread = named.where(F.size(twice) > 0).select("dataset", F.explode(twice).alias("c"), "names").select(
+        "dataset", _finding("duplicate_column", F.col("c"), "error", F.size(F.filter("names", lambda m: m == F.col("c"))), 1.0,
+                            F.concat(F.lit("duplicate column name: "), F.col("c"))).alias("f"))
+    empty = (spark.createDataFrame([(p,) for p, _ in files], "path string")
+             .join(heads.select(F.col("dataset").alias("path")), "path", "left_anti")
+             .select(F.col("path").alias("dataset"), some("error", none, None, "failed to read: no header", "read", none).alias("f")))
+    sound = named.where(F.size(twice) == 0).select("dataset", F.col("names")[0].alias("index"), columns.alias("columns"))
+    cell = lambda at: F.nullif(F.trim(F.get("fields", at)), F.lit(""))
+    rows = lines.join(sound, "dataset")
+    cells = rows.select("dataset", "fields", F.posexplode("columns").alias("pos", "name")).select("dataset", "pos", "name", cell(F.col("pos") + 1).alias("cell"))
+    stats = _folder_stats(cells, cfg["outlier_std_threshold"])
+    numeric = stats.groupBy("dataset").agg(F.count_if("is_numeric").alias("numeric"))
+    n = F.size("columns")
+    ratio = F.when(n > 0, F.coalesce("numeric", F.lit(0)) / n).otherwise(F.lit(0.0))
+    schema = sound.join(numeric, "dataset", "left").select("dataset", F.explode(F.concat(_findings([
+        (F.lit(True), some("summary", n, None, "columns", "column_count", none)),
+        (n < cfg["min_features"], some("error", n, cfg["min_features"], "too few features", "column_count", none)),
+        (n > cfg["max_features"], some("warning", n, cfg["max_features"], "many features", "column_count", none)),
+        (F.lit(True), some("summary", F.round(ratio, 3), None, "share of numeric columns", "numeric_ratio", none)),
+        (ratio < cfg["required_numeric_ratio"], some("warning", ratio, cfg["required_numeric_ratio"], "low numeric ratio", "numeric_ratio", none)),
+        (F.coalesce("numeric", F.lit(0)) == 0, some("warning", F.lit(0.0), None, "no numeric columns found for quality analysis", "numeric_columns", none)),
+    ]), F.transform(F.filter("columns", lambda c: c.startswith("Unnamed:")), lambda c: _finding(
+        "column_name", c, "warning", none, None, F.concat(F.lit("unnamed column: "), c))))).alias("f"))
+    parsed, valid = F.col("n_numeric_text"), F.col("n_valid")
+    unparsed = stats.where(F.col("is_text") & (2 * parsed > valid) & (parsed < valid)).select("dataset", _finding(
+        "unparsed_cells", F.col("column"), "warning", valid - parsed, 0.0, F.concat(F.lit("cells that are no numbers in "), F.col("column"))).alias("f"))
+    key = rows.select("dataset", "index", cell(F.lit(0)).alias("key"))
+    per_key = key.groupBy("dataset", "index", "key").agg(F.count(F.lit(1)).alias("n"))
+    bad = F.sum(F.when(F.lower("index").contains("time") & F.col("key").isNotNull() & ~_parses_as_time(F.col("key"), cfg["timestamp_formats"]), F.col("n")).otherwise(0))
+    keys = per_key.groupBy("dataset", "index").agg(F.sum(F.col("n") - 1).alias("again"), bad.alias("bad"))
+    index = keys.select("dataset", F.explode(_findings([
+        (F.lit(True), some("summary", F.col("again"), None, "repeated index values", "duplicate_index", F.col("index"))),
+        (F.col("again") > 0, some("warning", F.col("again"), 0.0, "repeated index values", "duplicate_index", F.col("index"))),
+        (F.lower("index").contains("time"), some("summary", F.col("bad") == 0, None, "1 if every index value is a time stamp", "timestamp_parseable", F.col("index"))),
+        (F.col("bad") > 0, some("warning", F.col("bad"), 0.0, "index values that are no time stamps", "timestamp_parseable", F.col("index"))),
+    ])).alias("f"))
+    found = unread.unionByName(empty).unionByName(schema).unionByName(unparsed).unionByName(index).select("dataset", "f.*")
+    names = [c.split()[0].strip("`") for c in RESULT.split(", ")]
+    return out.unionByName(found.select(*names)).unionByName(column_findings(stats, cfg).select(*names))

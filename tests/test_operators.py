@@ -330,6 +330,30 @@ def test_folder_checks(spark, tmp_path):
     assert [(r["check"], r["level"]) for r in missing] == [("folder", "error")]
 
 
+def test_folder_checks_equal_those_of_each_file(spark, tmp_path):
+    rows = [f"2020-01-{1 + i % 28:02d},{i % 7},{i / 3},{'' if i % 9 else i},x{i}" for i in range(300)]
+    (tmp_path / "a.csv").write_text("timestamp,small,third,rare,name\n" + "\n".join(rows + ["2020-02-01,900,,,"]) + "\n")
+    (tmp_path / "b.csv").write_text('key,"with, comma",,text\n1,"1,5",7,3\n2,"say ""x""",Inf,4\n2,,8,5\n\n')
+    (tmp_path / "c.csv").write_text("stamp time,v\nsoon,1\n2020-01-01,\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "mixed.csv").write_text("k,v\n" + "".join(f"{i},{i}\n" for i in range(20)) + "21,oops\n")
+    found = panel_io.validate_folder(spark, str(tmp_path)).collect()
+    got = {f: set() for f in "abc"}
+    for r in found:
+        name = r["dataset"].rsplit("/", 1)[-1]
+        if name[0] in got and r["check"] != "file_size_mb":
+            got[name[0]].add((r["check"], r["column"], r["level"], r["observed"], r["threshold"]))
+    for f in got:
+        df = spark.read.option("header", True).option("inferSchema", True).option("escape", '"').csv(str(tmp_path / f"{f}.csv"))
+        df = df.toDF(*["Unnamed: 2" if c.startswith("_c") else c for c in df.columns])
+        df = df.withColumn(df.columns[0], df[df.columns[0]].cast("string"))
+        want = {(r["check"], r["column"], r["level"], r["observed"], r["threshold"]) for r in quality.validate(df, f, df.columns[0]).collect()}
+        assert got[f] == want, f
+    others = {(r["dataset"].rsplit("/", 1)[-1], r["check"], r["level"], r["observed"]) for r in found}
+    assert ("empty.csv", "read", "error", None) in others and ("mixed.csv", "unparsed_cells", "warning", 1.0) in others
+    assert sum(r["check"] == "read" for r in found) == 1
+
+
 def test_feature_files(spark, tmp_path):
     (tmp_path / "Air_temperature.csv").write_text("t,5904_W HOHE,12\n2020-01-01 00:00:00+00:00,1.5,\n2020-01-01 01:00:00+00:00,,2\n")
     got = values(panel_io.read_feature_csvs(spark, str(tmp_path)))
