@@ -6,10 +6,10 @@ from pyspark.sql import Window as W, functions as F
 
 import panelfill
 from panelfill.functions.keys import CELL, SERIES
-from panelfill.operators import boosted, centroid, chained, fill, learned, neighbours, scan
+from panelfill.operators import boosted, centroid, chained, fill, learned, neighbours, rank, scan
 from panelfill.plans import testbed as tb
 from panelfill.plans.catalog import query, r, rounded
-from panelfill.sources.storage import stored
+from panelfill.sources.storage import scratch_path, stored
 
 VM = r("Value_missing")
 
@@ -201,6 +201,17 @@ def null_keys_kept(spark, sf):
         F.count_if(F.col("Station").isNull() & F.col("Value").isNotNull()).alias("n_filled"))
 
 
+@query("runs_measured", "SELECT imputation_method, count(*) AS n_rows, count(*) FILTER (v IS NULL) AS n_left, true AS timed FROM ("
+       "SELECT 'mean' AS imputation_method, coalesce(Value_missing, series_mean) AS v FROM near UNION ALL "
+       "SELECT 'ffill', coalesce(Value_missing, prev, nxt) FROM near UNION ALL SELECT 'interpolation', coalesce(Value_missing, prev, nxt) FROM near UNION ALL "
+       "SELECT 'knn', 0 FROM near UNION ALL SELECT 'iterative', coalesce(Value_missing, series_mean) FROM near) GROUP BY imputation_method")
+def runs_measured(spark, sf):
+    """Rows, gaps left and run time of each method, as its own write recorded them."""
+    runs = fill.run_measured(tb.working_set(spark, sf), scratch_path(spark, "measured"), KEYED)
+    timed = rank.with_runtime(runs.select("imputation_method", "n_rows", "n_left"), runs.select("imputation_method", "ms"))
+    return timed.select("imputation_method", "n_rows", "n_left", ((F.col("RUNTIME") >= 1) & (F.col("RUNTIME_LOG") >= 0)).alias("timed"))
+
+
 @query("filled_by_plug_in", "SELECT Date, Station, Feature, round(Value, 6) + 0.0 AS Value, missing, "
        "round(coalesce(Value_missing, median(Value_missing) OVER (PARTITION BY Station, Feature)), 6) + 0.0 AS Value_missing FROM prepared")
 def filled_by_plug_in(spark, sf):
