@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelfill.functions.keys import (
@@ -97,16 +98,50 @@ def discover_methods(spark: SparkSession, path: str) -> DataFrame:
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     if list_files(spark, path, "") is None:
         return spark.createDataFrame([], SCORE_SCHEMA)
-    return spark.read.schema(SCORE_SCHEMA).parquet(path)
+    return spark.read.schema(SCORE_SCHEMA).option("recursiveFileLookup", True).parquet(path)
+
+
+def _claimed(spark: SparkSession, folder: str, first: int) -> int:
+    """The first number from ``first`` on that nobody has claimed in the folder: its file is created, or fails to be if it
+    is there. Cluster file systems do that in one step; for local folders Java's own call does."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    n = first
+    while True:
+        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}")
+        if fs.getUri().getScheme() == "file":
+            if jvm.java.io.File(target.toUri().getPath()).createNewFile():
+                return n
+        else:
+            try:
+                fs.create(target, False).close()
+                return n
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in str(e.java_exception):
+                    raise
+        n += 1
 
 
 def append_scores(scores: DataFrame, path: str) -> int:
-    """Add scores under the next free run id and return it."""
-    run = next_run_id(read_scores(scores.sparkSession, path))
-    scores.withColumn("run", F.lit(run).cast("int")).select(*SCORE_COLUMNS).write.mode("append").parquet(path)
+    """Add scores under the next free run id and return it. Writers at the same time get different ids, and each writes a
+    folder of its own, so that no commit sweeps away another's files; a run that fails leaves its id unused."""
+    spark = scores.sparkSession
+    run = _claimed(spark, f"{path.rstrip('/')}_runs", next_run_id(read_scores(spark, path)))
+    scores.withColumn("run", F.lit(run).cast("int")).select(*SCORE_COLUMNS).write.parquet(f"{path.rstrip('/')}/run-{run}")
     return run
 
 
+def rewrite_run_metadata(spark: SparkSession, path: str, **metadata) -> str:
+    """Set the metadata columns of a stored score table. The table as it was stays as a numbered backup, whose path is
+    returned; it is complete before anything changes, and the new table is made from it."""
+    backup = f"{path.rstrip('/')}_backup-{_claimed(spark, path.rstrip('/') + '_backups', 1)}"
+    read_scores(spark, path).write.parquet(backup)
+    backfill_run_metadata(read_scores(spark, backup), **metadata).select(*SCORE_COLUMNS).write.mode("overwrite").parquet(path)
+    return backup
+
+
 def backfill_run_metadata(s: DataFrame, scaling: bool = False, resample: bool = True, resample_freq: str = "1d") -> DataFrame:
     """Set the three metadata columns on every stored score. The caller writes to a new path, so the old table stays as backup."""
     return s.withColumns({"scaling": F.lit(scaling), "resample": F.lit(resample), "resample_freq": F.lit(resample_freq)})
