@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelfill.llm.common import as_bytes, mixed, text_slices, windows_of
-from panelfill.llm.components import components
+from panelfill.llm.components import components, packed
 from panelfill.llm.decontaminate import Scanner, LOWER
 from panelfill.sources.storage import stored
 
@@ -47,6 +47,8 @@ SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B9
 SKETCH = T.StructType([T.StructField("_digest", T.BinaryType()), T.StructField("_shingles", T.LongType()),
                        T.StructField("_keys", T.ArrayType(T.LongType())), T.StructField("_parts", T.ArrayType(T.LongType())),
                        T.StructField("_even", T.ArrayType(T.LongType())), T.StructField("_picks", T.ArrayType(T.IntegerType()))])
+PAIRS = 2000  # that a task aligns; fewer tasks than partitions where pairs are few
+LISTS = 20_000  # rows of picks in one partition
 BITS = 1 << 26  # of the bitmap that keeps most unwanted texts from being moved; 8 MB at any size of the corpus
 ROW = ["_k1", "_k2"]  # hashes that name a row by its id and text
 
@@ -189,15 +191,15 @@ def aligned(a: list[int], b: list[int], threshold: float) -> float:
     return matched / (len(a) + len(b) - matched)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, threshold: float, slim: bool) -> DataFrame:
+def _similar(pairs: DataFrame, texts: DataFrame, threshold: float, slim: DataFrame | None = None) -> DataFrame:
     """The pairs ``a``-``b`` whose texts reach the threshold. Cheap bounds come first: lengths, then shared picks; with
-    ``slim`` they are tested before any text is moved."""
+    ``slim``, the texts' rows without the texts, they are tested before any text is moved."""
     sides = [texts.select(F.col("_digest").alias(s), *[F.col(c).alias(f"_{s}{c}") for c in ("text", "_shingles", "_picks")]) for s in "ab"]
     likely = ((F.least("_a_shingles", "_b_shingles") >= threshold * F.greatest("_a_shingles", "_b_shingles"))
               & (F.size(F.array_intersect("_a_picks", "_b_picks")) >= AGREEMENT * F.size(F.array_distinct("_a_picks"))))
-    if slim:
-        bare = [s.drop(f"_{n}text") for s, n in zip(sides, "ab")]
-        pairs = stored(pairs.join(bare[0], "a").join(bare[1], "b").where(likely).select("a", "b"), "pairs")
+    if slim is not None:
+        bare = [slim.select(F.col("_digest").alias(n), *[F.col(c).alias(f"_{n}{c}") for c in ("_shingles", "_picks")]) for n in "ab"]
+        pairs = packed(pairs.join(bare[0], "a").join(bare[1], "b").where(likely).select("a", "b"), "pairs")
         likely = F.lit(True)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +215,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float, slim: bool) -
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.binary()) for x in (a, b)], ["a", "b"])
 
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS))
     return (pairs.join(sides[0], "a").join(sides[1], "b").where(likely)
-            .select("a", "b", F.col("_atext").alias("_ta"), F.col("_btext").alias("_tb")).mapInArrow(align, "a binary, b binary"))
+            .select("a", "b", F.col("_atext").alias("_ta"), F.col("_btext").alias("_tb")).coalesce(tasks).mapInArrow(align, "a binary, b binary"))
 
 
 def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -227,7 +230,8 @@ def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
     likely = (docs.select("text", *ROW, bit.alias("_bit")).withColumn("_bucket", F.bitmap_bucket_number("_bit"))
               .join(F.broadcast(bitmap), "_bucket").where(F.getbit(byte, (place % 8).cast("int")) == 1))
-    return likely.join(wanted, ROW).select("text")  # a semi-join would be moved before the bitmap
+    # A semi-join would be moved before the bitmap. Rows that are there several times give one text.
+    return likely.join(wanted, ROW).groupBy(*ROW).agg(F.first("text").alias("text")).select("text")
 
 
 def classes(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -238,19 +242,20 @@ def classes(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     """
     keyed = texts.select("_digest", F.explode(F.array_distinct(F.concat("_keys", "_even"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = stored(keyed.join(shared, "key"), "buckets")
+    buckets = packed(keyed.join(shared, "key"), "buckets")
+    parts = buckets.rdd.getNumPartitions()
     hubs = buckets.groupBy("key").agg(F.min("_digest").alias("hub"))
     whole = texts.where(F.size("_parts") > 0).select(F.get("_parts", F.lit(0)).alias("key"), F.col("_digest").alias("hub"))
-    parts = texts.select("_digest", F.explode(F.array_distinct(F.slice("_parts", 2, SHORT * SHORT))).alias("key"))
-    held = stored(parts.join(whole, "key").select(F.greatest("_digest", "hub").alias("a"), F.least("_digest", "hub").alias("b")).distinct(), "held")
-    used = buckets.select("_digest").union(held.select("a")).union(held.select("b")).distinct()
-    wanted = stored(texts.select("_digest", "_least").join(used, "_digest", "left_semi")
+    without = texts.select("_digest", F.explode(F.array_distinct(F.slice("_parts", 2, SHORT * SHORT))).alias("key"))
+    held = packed(without.join(whole, "key").select(F.greatest("_digest", "hub").alias("a"), F.least("_digest", "hub").alias("b")), "held").distinct()
+    used = buckets.select("_digest").union(held.select("a")).union(held.select("b")).coalesce(parts).distinct()
+    wanted = packed(texts.select("_digest", "_least").join(used, "_digest", "left_semi")
                     .select(*[F.col(f"_least.{k}").alias(k) for k in ROW]), "wanted")
-    own = stored(sketched(_rows_of(docs, wanted), ["text", "_digest", "_shingles", "_picks"])
-                 .groupBy("_digest").agg(F.min("text").alias("text"), F.first("_shingles").alias("_shingles"), F.first("_picks").alias("_picks")), "texts")
-    tested = stored(buckets.join(hubs, "key").where("_digest <> hub").select(F.col("_digest").alias("a"), F.col("hub").alias("b"))
-                    .union(held).distinct(), "tested")
-    links, step = stored(_similar(tested, own, threshold, slim=False), "similar"), 0
+    own = stored(sketched(_rows_of(docs, wanted), ["text", "_digest", "_shingles", "_picks"]), "texts")
+    tested = buckets.join(hubs, "key").where("_digest <> hub").select(F.col("_digest").alias("a"), F.col("hub").alias("b"))
+    tested = packed(tested.union(held).coalesce(parts).distinct(), "tested")
+    slim = packed(own.select("_digest", "_shingles", "_picks"), "picks", LISTS)
+    links, step = packed(_similar(tested, own, threshold), "similar"), 0
     while True:
         step += 1
         found = components(links)
@@ -258,7 +263,7 @@ def classes(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
             "key", "_digest", F.coalesce("class", "_digest").alias("class"))
         groups = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.min_by("_digest", F.xxhash64("_digest", F.lit(step), "key")).alias("hub"))
         main = groups.groupBy("key").agg(F.max_by(F.struct("class", "hub"), F.struct("n", "class")).alias("main"), F.count(F.lit(1)).alias("k"))
-        apart = stored(placed.join(main.where("k > 1").select("key", "main"), "key").where(F.col("class") != F.col("main.class")), "apart")
+        apart = packed(placed.join(main.where("k > 1").select("key", "main"), "key").where(F.col("class") != F.col("main.class")), "apart")
         if not apart.limit(1).count():
             return found
         others = placed.select("key", F.col("_digest").alias("hub"), F.col("class").alias("_other"))
@@ -267,19 +272,19 @@ def classes(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
         every = (loose.agg(F.sum(F.col("k") * F.col("n"))).first()[0] or 0) <= 4 * buckets.count()
         more = None
         if not every:
-            tested, more = _next_links(apart.select("_digest", F.col("main.hub").alias("hub")), tested, own, threshold)
+            tested, more = _next_links(apart.select("_digest", F.col("main.hub").alias("hub")), tested, own, slim, threshold)
             every = not more.limit(1).count()
         if every:
-            _, more = _next_links(rest, tested, own, threshold)
-            return components(stored(links.union(more), "similar")) if more.limit(1).count() else found
-        links = stored(links.union(more), "similar")
+            _, more = _next_links(rest, tested, own, slim, threshold)
+            return components(packed(links.union(more), "similar")) if more.limit(1).count() else found
+        links = packed(links.union(more), "similar")
 
 
-def _next_links(pairs: DataFrame, tested: DataFrame, own: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _next_links(pairs: DataFrame, tested: DataFrame, own: DataFrame, slim: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Compare the pairs that were not compared yet; also returns all that are compared now."""
     fresh = pairs.select(F.greatest("_digest", "hub").alias("a"), F.least("_digest", "hub").alias("b")).distinct()
-    fresh = stored(fresh.join(tested, ["a", "b"], "left_anti"), "fresh")
-    return stored(tested.union(fresh), "tested"), stored(_similar(fresh, own, threshold, slim=True), "links")
+    fresh = packed(fresh.join(tested, ["a", "b"], "left_anti"), "fresh")
+    return packed(tested.union(fresh), "tested"), packed(_similar(fresh, own, threshold, slim), "links")
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -296,10 +301,13 @@ def _classified(docs: DataFrame, rows: DataFrame, threshold: float) -> tuple[Dat
     texts = stored(sketch.groupBy("_digest").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", *ROW)).alias("_least"),
                                                  *[F.first(c).alias(c) for c in ("_keys", "_parts", "_even")]), "digests")
     found = classes(docs, texts, threshold)
-    named = stored(texts.select("_digest", "_least").join(found, F.col("_digest") == F.col("node"), "left")
-                   .select("_digest", "_least", F.coalesce("class", "_digest").alias("class")), "named")
-    kept = named.groupBy("class").agg(F.min("_least._id").alias("class_id"), F.min_by("_digest", F.struct("_least", "_digest")).alias("_kept"))
-    return sketch, named.join(kept, "class")
+    linked = packed(texts.select("_digest", "_least").join(found, F.col("_digest") == F.col("node")).select("_digest", "_least", "class"), "linked")
+    kept = linked.groupBy("class").agg(F.min("_least._id").alias("class_id"), F.min_by("_digest", F.struct("_least", "_digest")).alias("_kept"))
+    several = packed(linked.join(kept, "class").select("_digest", "class_id", "_kept"), "several")
+    alone = F.col("_kept").isNull()  # of a text that is linked to no other
+    return sketch, texts.select("_digest", "_least").join(several, "_digest", "left").select(
+        "_digest", "_least", F.when(alone, F.col("_least._id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("_kept", "_digest").alias("_kept"))
 
 
 def with_class(docs: DataFrame, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
