@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelfill.llm.common import text_slices
-from panelfill.llm.pretokens import BLOCK, Splitter, byte_letters, encoder, ragged
+from panelfill.llm.pretokens import BLOCK, Splitter, byte_letters, encoder, ragged, release
 from panelfill.sources.storage import stored
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -204,6 +204,8 @@ def with_ids(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = LEXICON_
                     [batch.column(c).slice(at, len(sizes)) for c in names] + [pa.array(sizes.astype(np.int64)), raw]
                     + ([back.texts(sizes, ids)] if decode else []), schema=pa_schema(batch, names, decode))
                 at += len(sizes)
+        del own, back
+        release()  # workers outlive their tasks, and later stages need the memory
 
     return docs.select(*[f"`{n}`" for n in names]).mapInArrow(encode, schema)
 

@@ -8,6 +8,7 @@ change, are left to the tokenizers library itself, so results never differ from
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import unicodedata
@@ -202,7 +203,7 @@ class BlockEncoder:
 
 
 def encoder(name: str, spaced: bool, key: str = "", lexicon: Callable | None = None) -> BlockEncoder:
-    """This worker's encoder for a vocabulary file; it stays with the process from task to task."""
+    """This worker's encoder for a vocabulary file; it stays with the process until it is released."""
     kept = vars(sys).setdefault("_panelfill_encoders", {})
     if (name, spaced, key) not in kept:
         kept.clear()
@@ -212,5 +213,7 @@ def encoder(name: str, spaced: bool, key: str = "", lexicon: Callable | None = N
 
 
 def release() -> None:
-    """Let this worker's encoder go."""
+    """Let this worker's encoder go, and what Arrow keeps of freed memory."""
     vars(sys).pop("_panelfill_encoders", None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
