@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
@@ -17,6 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def names_apart(*taken: str) -> Callable:
+    """For operators that use the column names ``taken``: input columns of these names go under others meanwhile. They
+    come back where the operator makes no column of that name, and give way to it where it does."""
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            inside = {f"_input_{c}": c for c in docs.columns if c in taken}
+            if not inside:
+                return operator(docs, *args, **options)
+            out = operator(docs.withColumnsRenamed({c: n for n, c in inside.items()}), *args, **options)
+            back = {c: inside[c] for c in out.columns if c in inside and inside[c] not in out.columns}
+            gone = set(inside) - set(back)
+            return out.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in out.columns if c not in gone])
+        return run
+    return wrap
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """Texts of an Arrow column as UTF-8."""
     return pc.cast(column, pa.large_binary()).to_pylist()

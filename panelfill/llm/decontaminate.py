@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from panelfill.llm.common import SpanHasher, as_bytes, byte_values, covered, runs, slices, windows_of
+from panelfill.llm.common import SpanHasher, as_bytes, byte_values, covered, names_apart, runs, slices, windows_of
 from panelfill.sources.storage import stored
 
 N = 13
@@ -28,6 +28,7 @@ LOWER[65:91] += 32
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+TAKEN = ["n_words", "n_hit", "spans", "items", "_hit", "_items", "_words", "_spans"]
 FILTER_BITS = 22
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FOUND = T.StructType([T.StructField("_hit", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType())),
@@ -109,6 +110,7 @@ def _part(benchmark: DataFrame, n: int, part: int, parts: int) -> dict[bytes, se
     return item_windows([(r[0], r[1]) for r in own.select("item_id", "text").toLocalIterator()], n)
 
 
+@names_apart(*TAKEN)
 def find_passages(docs: DataFrame, benchmark: DataFrame, n: int = N, max_bytes: int = 256 << 20) -> DataFrame:
     """The documents with what the benchmark left in them.
 
@@ -162,11 +164,13 @@ def contaminated() -> F.Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+@names_apart(*TAKEN)
 def without_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents that are not contaminated, unchanged."""
     return find_passages(docs, benchmark, **options).where(~contaminated()).select(*[f"`{c}`" for c in docs.columns])
 
 
+@names_apart(*TAKEN)
 def without_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """All documents, the hit spans cut out of their texts."""
     found = find_passages(docs, benchmark, **options)

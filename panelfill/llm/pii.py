@@ -22,6 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelfill.llm.common import names_apart
 from panelfill.sources.storage import stored
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -36,6 +37,7 @@ WORD = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
 AT = r"(?i)(?<!\S)\S++\x20(?:at|\(at\)|\[at\])\x20\S++"
 RUN = 19
 LEAD, TRAIL = r"""^[("'<\[{]++""", r"""[)"'>\]},.;:!?]++$"""
+TAKEN = ["base", "spans", "words", "_text", "_m", "_g", "_s", "_e", "_k1", "_k2", "_own", "_more", "_cut", "_far", *[f"_{k}" for k in KINDS]]
 ROUNDS = 3
 CONFIDENCE = 0.8
 SUPPORT = 3
@@ -193,6 +195,7 @@ def _learned(rows: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDEN
                   .select("pattern", "kind"), "learned")
 
 
+@names_apart(*TAKEN)
 def with_spans(docs: DataFrame, **options) -> DataFrame:
     """The documents with ``base`` and ``spans``, structs of start, kind number and end; ``spans`` has the learned ones too."""
     names = docs.columns
@@ -217,6 +220,7 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"], s["end"])), ",")
 
 
+@names_apart(*TAKEN)
 def redacted(docs: DataFrame, **options) -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets; a span that starts inside an earlier one is
     part of it. Texts without spans are unchanged."""

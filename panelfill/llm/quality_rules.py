@@ -17,12 +17,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelfill.llm.common import names_apart
 from panelfill.sources.storage import stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
+TAKEN = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept",
+         "_text", "_words", "_lines", "_windows", "_sorted", "_twice", "_places"]
 SAMPLE_ROWS = 2000
 
 
@@ -106,6 +109,7 @@ def cascade(rules: list[Rule]) -> Column:
     return out
 
 
+@names_apart(*TAKEN)
 def with_verdict(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents with measures, ``base_failed``, ``rejected_by`` (a rule's name, 'base' or null) and ``kept``."""
     measured = with_measures(docs)

@@ -17,6 +17,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelfill.llm.common import names_apart
+
+TAKEN = ["host", "path", "rule", "pattern", "verdict", "_sites", "_patterns", "_site", "_found"]
 MAX_RULES = 10_000
 TOKEN = "[a-z0-9]+"
 
@@ -95,6 +98,7 @@ def _candidates(index: dict[str, list], columns: list[tuple]) -> Column:
     return F.flatten(F.transform(hit, lambda t: F.element_at(entries, t)))
 
 
+@names_apart(*TAKEN)
 def with_verdict(pages: DataFrame, sites: list[SiteRule] = SITE_RULES, patterns: list[PatternRule] = PATTERN_RULES) -> DataFrame:
     """The pages with ``host``, ``path``, ``rule`` (the site rule that fits, else null), ``pattern`` and ``verdict``."""
     if len(sites) + len(patterns) > MAX_RULES:
