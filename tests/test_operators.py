@@ -48,6 +48,24 @@ def test_grid_drops_off_grid_rows_and_refuses_repeats(spark):
         clean.regularise(spark.createDataFrame(rows + rows[:1], schema)).collect()
 
 
+def test_grid_steps_are_written_after_the_last_shuffle(spark):
+    """Only readings are shuffled; a gap longer than a block, a late start and a null station come out whole."""
+    steps = clean.GRID_STEPS_PER_ROW * 2 + 5
+    ends = [START - dt.timedelta(hours=7), START + dt.timedelta(hours=steps)]
+    rows = [(ends[0], "a", "f", 1.0), (ends[1], "a", "f", 2.0), (START, "b", "f", 3.0), (START, None, "f", 4.0),
+            (START + dt.timedelta(microseconds=1), "b", "f", 9.0), (None, "b", "f", 9.0)]
+    p = spark.createDataFrame(rows, "Date timestamp_ntz, Station string, Feature string, Value double")
+    grid = clean.regularise(p)
+    above = grid._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+    assert "Generate explode(sequence(" in above
+    got = grid.groupBy("Station").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("Date").alias("dates"), F.min("Date").alias("lo"), F.max("Date").alias("hi"),
+        F.collect_list(F.struct("Date", "Value")).alias("all")).collect()
+    assert {r["Station"]: (r["n"], r["dates"], r["lo"], r["hi"]) for r in got} == {s: (steps + 8, steps + 8, *ends) for s in ("a", "b", None)}
+    seen = {r["Station"]: [(c["Date"], c["Value"]) for c in r["all"] if c["Value"] is not None] for r in got}
+    assert {s: sorted(v) for s, v in seen.items()} == {"a": [(ends[0], 1.0), (ends[1], 2.0)], "b": [(START, 3.0)], None: [(START, 4.0)]}
+
+
 def test_offsets_become_utc(spark):
     df = spark.createDataFrame([("2020-01-02T00:00:00+02:00",), ("2020-01-02 00:00:00",), ("junk",)], "Date string")
     got = [r["Date"] for r in clean.to_naive_utc(df).collect()]
