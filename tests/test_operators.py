@@ -176,6 +176,18 @@ def test_centroid_completion_equals_whole_matrices(spark, block_cells):
     assert np.allclose(got, centroid_reference(x, 2, 1e-2), atol=1e-6)
 
 
+def test_boosted_cells_go_without_the_list_of_names(spark, monkeypatch):
+    plans = {}
+    kept = boosted.stored
+    monkeypatch.setattr(boosted, "stored", lambda df, name: plans.setdefault(name, df) and kept(df, name))
+    x = random_matrix(30, 3, 0.2, 5)
+    columns = boosted.Boosted(matrix_panel(spark, x), "Value", "Feature").columns.first()["columns"]
+    assert [(c["Station"], c["Feature"], c["wanted"]) for c in columns] == [(f"s{j:02d}", "f", True) for j in range(3)]
+    lines = plans["boosted-columns"]._jdf.queryExecution().executedPlan().toString().splitlines()
+    per_cell = [line for line in lines if "percentile_approx" in line or "posexplode(c#" in line]
+    assert per_cell and not any("names" in line for line in per_cell)
+
+
 def test_centroid_completion_of_nothing(spark):
     p = panel(spark, {("a", "f"): [1, None, 3], ("b", "f"): [None, None, None], ("c", "f"): [2, 2, None]})
     assert values(centroid.impute_centroid(p, "Value"))[("b", "f")] == [None, None, None]
