@@ -2,6 +2,7 @@ import datetime as dt
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,18 @@ def test_boosted_cells_go_without_the_list_of_names(spark, monkeypatch):
     assert per_cell and not any("names" in line for line in per_cell)
 
 
+def test_centroids_of_wide_parts_need_no_gram_matrix(monkeypatch):
+    """A task with fewer rows than series sends its rows; centroids on rows equal those on their Gram matrix."""
+    x = np.random.default_rng(3).normal(size=(20, 60))
+    block = pa.RecordBatch.from_pylist([{
+        "part": "p", "columns": [{"mean": 0.0, "spread": 1.0}] * 60, "cells": [{"x": list(v), "s": list(v)} for v in x], "rounds": None}])
+    sent = next(centroid._send([block]))
+    assert sent.column("gram")[0].as_py() is None and len(sent.column("rows")[0].as_py()) == 8 * x.size
+    monkeypatch.setattr(centroid, "GRAM_CELLS", 0)
+    found = centroid._found([], x, 3)
+    assert np.allclose(found, centroid.centroids(x.T @ x, 3), atol=1e-9) and found.shape == (3, 2, 60)
+
+
 def test_centroid_completion_of_nothing(spark):
     p = panel(spark, {("a", "f"): [1, None, 3], ("b", "f"): [None, None, None], ("c", "f"): [2, 2, None]})
     assert values(centroid.impute_centroid(p, "Value"))[("b", "f")] == [None, None, None]
