@@ -10,8 +10,10 @@ in a band wide enough for the threshold, M / (n + m - M). Links are similarities
 connected components.
 
 Within a bucket texts are first compared with one of them only. Buckets that then hold several classes are compared
-further: first, where the open comparisons outnumber the buckets' rows, against other members of their largest class
-while that adds links, and at last exhaustively, so no candidate of another class is left out. Pairs of one class are never listed.
+exhaustively, so no candidate of another class is left out. Pairs of one class are never listed. Buckets of more than
+``WIDE`` rows are compared in tiles: a matrix product counts the shingles that each pair of texts shares, at most that many
+can be aligned, and only pairs that reach the threshold by this bound and are of two classes yet are aligned. A pair of tiles
+gives no more links than it has texts, so the rows that are made do not grow with the square of a bucket.
 
 Defined cases: texts without words (null, empty, signs only) form one class; equal word sequences are one text for all
 comparisons; a class is named after its smallest ``doc_id``, null if it has none; an empty table gives an empty table;
@@ -27,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelfill.llm.common import as_bytes, mixed, text_slices, windows_of
 from panelfill.llm.components import components, packed
@@ -50,6 +52,9 @@ SKETCH = T.StructType([T.StructField("_digest", T.BinaryType()), T.StructField("
 PAIRS = 2000  # that a task aligns; fewer tasks than partitions where pairs are few
 LISTS = 20_000  # rows of picks in one partition
 BITS = 1 << 26  # of the bitmap that keeps most unwanted texts from being moved; 8 MB at any size of the corpus
+WIDE = 16  # rows of a bucket up to which its pairs are listed
+TILE, TILE_SHINGLES = 2048, 1 << 20  # rows and shingles of one tile of a wider bucket
+COLUMNS = 4096  # shingles counted by one matrix product
 ROW = ["_k1", "_k2"]  # hashes that name a row by its id and text
 
 
@@ -255,36 +260,101 @@ def classes(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     tested = buckets.join(hubs, "key").where("_digest <> hub").select(F.col("_digest").alias("a"), F.col("hub").alias("b"))
     tested = packed(tested.union(held).coalesce(parts).distinct(), "tested")
     slim = packed(own.select("_digest", "_shingles", "_picks"), "picks", LISTS)
-    links, step = packed(_similar(tested, own, threshold), "similar"), 0
-    while True:
-        step += 1
+    links = packed(_similar(tested, own, threshold), "similar")
+    found = components(links)
+    apart = _apart(buckets, found)
+    wide = apart.where(F.col("n") > WIDE)
+    if wide.limit(1).count():
+        links = packed(links.union(_wide_links(wide, own, threshold)), "similar")
         found = components(links)
-        placed = buckets.join(found, buckets["_digest"] == found["node"], "left").select(
-            "key", "_digest", F.coalesce("class", "_digest").alias("class"))
-        groups = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.min_by("_digest", F.xxhash64("_digest", F.lit(step), "key")).alias("hub"))
-        main = groups.groupBy("key").agg(F.max_by(F.struct("class", "hub"), F.struct("n", "class")).alias("main"), F.count(F.lit(1)).alias("k"))
-        apart = packed(placed.join(main.where("k > 1").select("key", "main"), "key").where(F.col("class") != F.col("main.class")), "apart")
-        if not apart.limit(1).count():
-            return found
-        others = placed.select("key", F.col("_digest").alias("hub"), F.col("class").alias("_other"))
-        rest = apart.join(others, "key").where(F.col("class") != F.col("_other")).select("_digest", "hub")
-        loose = apart.groupBy("key").agg(F.count(F.lit(1)).alias("k")).join(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-        every = (loose.agg(F.sum(F.col("k") * F.col("n"))).first()[0] or 0) <= 4 * buckets.count()
-        more = None
-        if not every:
-            tested, more = _next_links(apart.select("_digest", F.col("main.hub").alias("hub")), tested, own, slim, threshold)
-            every = not more.limit(1).count()
-        if every:
-            _, more = _next_links(rest, tested, own, slim, threshold)
-            return components(packed(links.union(more), "similar")) if more.limit(1).count() else found
-        links = packed(links.union(more), "similar")
-
-
-def _next_links(pairs: DataFrame, tested: DataFrame, own: DataFrame, slim: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Compare the pairs that were not compared yet; also returns all that are compared now."""
+        apart = _apart(buckets, found)
+    narrow = apart.where(F.col("n") <= WIDE)
+    others = narrow.select("key", F.col("_digest").alias("hub"), F.col("class").alias("_other"))
+    pairs = narrow.where("class <> main").join(others, "key").where(F.col("class") != F.col("_other"))
     fresh = pairs.select(F.greatest("_digest", "hub").alias("a"), F.least("_digest", "hub").alias("b")).distinct()
     fresh = packed(fresh.join(tested, ["a", "b"], "left_anti"), "fresh")
-    return packed(tested.union(fresh), "tested"), packed(_similar(fresh, own, threshold, slim), "links")
+    more = packed(_similar(fresh, own, threshold, slim), "links")
+    return components(packed(links.union(more), "similar")) if more.limit(1).count() else found
+
+
+def _apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several classes, with the class of each, the largest of its bucket (``main``) and
+    the number of the bucket's rows (``n``)."""
+    placed = buckets.join(found, buckets["_digest"] == found["node"], "left").select(
+        "key", "_digest", F.coalesce("class", "_digest").alias("class"))
+    groups = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    main = groups.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    return packed(placed.join(main.where("k > 1").drop("k"), "key"), "apart")
+
+
+def shared_shingles(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The number of marks that each of ``a`` shares with each of ``b``; marks of one text are distinct."""
+    flat = [np.concatenate(side) for side in (a, b)]
+    text = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (a, b)]
+    known, out = np.intersect1d(*flat), np.zeros((len(a), len(b)), np.float32)
+    if not len(known):
+        return out
+    place = [np.minimum(np.searchsorted(known, x), len(known) - 1) for x in flat]
+    for i in range(2):
+        held = np.flatnonzero(known[place[i]] == flat[i])
+        held = held[np.argsort(place[i][held], kind="stable")]
+        place[i], text[i] = place[i][held], text[i][held]
+    for lo in range(0, len(known), COLUMNS):
+        sides = []
+        for i, side in enumerate((a, b)):
+            part = slice(*np.searchsorted(place[i], [lo, lo + COLUMNS]))
+            sides.append(np.zeros((len(side), min(COLUMNS, len(known) - lo)), np.float32))
+            sides[i][text[i][part], place[i][part] - lo] = 1
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def tile_links(texts: list[bytes], own: np.ndarray, loose: np.ndarray, threshold: float, scanner: Scanner) -> list[tuple[int, int]]:
+    """Links between the ``loose`` texts and the others, enough to join all that are linked; ``own`` are the classes so far."""
+    shingles, bounds, _ = shingles_of(texts, scanner)
+    marks = labelled(shingles, bounds)
+    rows, n, own = [np.flatnonzero(loose), np.flatnonzero(~loose)], np.diff(bounds), own.copy()
+    if not len(rows[0]) or not len(rows[1]):
+        return []
+    shared = shared_shingles(*[[marks[bounds[i]:bounds[i + 1]] for i in side] for side in rows])
+    likely = shared >= threshold / (1 + threshold) * (n[rows[0]][:, None] + n[rows[1]][None, :]) - 1e-6
+    links = []
+    for at, i in enumerate(rows[0]):
+        open_ = np.flatnonzero(likely[at] & (own[rows[1]] != own[i]))
+        open_ = open_[np.argsort(-shared[at][open_], kind="stable")]
+        one = shingles[bounds[i]:bounds[i + 1]].tolist() if len(open_) else []
+        while len(open_):
+            j, open_ = rows[1][open_[0]], open_[1:]
+            if aligned(shingles[bounds[j]:bounds[j + 1]].tolist(), one, threshold) >= threshold:
+                links.append((i, j))
+                own[own == own[j]] = own[i]
+                open_ = open_[own[rows[1][open_]] != own[i]]
+    return links
+
+
+def _wide_links(wide: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a``-``b`` between the classes of wide buckets. Texts outside a bucket's largest class (loose ones) meet all
+    of its texts, tile by tile; where one tile holds the loose ones, the others are moved once."""
+    rows = wide.join(own.select("_digest", "_shingles", "text"), "_digest").withColumn("_loose", F.col("class") != F.col("main"))
+
+    def tiles(some: Column) -> Column:
+        return F.ceil(F.greatest(F.count_if(some) / TILE, F.sum(F.when(some, F.col("_shingles"))) / TILE_SHINGLES, F.lit(1)))
+
+    sizes = rows.groupBy("key").agg(tiles(F.lit(True)).alias("_all"), tiles(F.col("_loose")).alias("_few"))
+    rows, h = rows.join(sizes, "key"), F.xxhash64("_digest")
+    carried = ["_digest", "class", "text"]
+    sides = [rows.where("_loose").select("key", F.pmod(h, "_few").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("_j"), F.lit(True).alias("_first"), *carried),
+             rows.select("key", F.explode(F.sequence(F.lit(0), F.col("_few") - 1)).alias("_i"), F.pmod(h, "_all").alias("_j"), F.lit(False).alias("_first"), *carried)]
+
+    def link(table: pa.Table) -> pa.Table:
+        names, classes_ = table.column("_digest").to_pylist(), table.column("class").to_pylist()
+        numbers = {c: i for i, c in enumerate(dict.fromkeys(classes_))}
+        texts = [t.encode() for t in table.column("text").to_pylist()]
+        links = tile_links(texts, np.array([numbers[c] for c in classes_]), table.column("_first").to_numpy(), threshold, Scanner({}))
+        return pa.table([pa.array([names[p[i]] for p in links], pa.binary()) for i in range(2)], ["a", "b"])
+
+    return sides[0].union(sides[1]).groupBy("key", "_i", "_j").applyInArrow(link, "a binary, b binary").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _named(docs: DataFrame) -> DataFrame:
