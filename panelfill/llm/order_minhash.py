@@ -265,7 +265,7 @@ def classes(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     apart = _apart(buckets, found)
     wide = apart.where(F.col("n") > WIDE)
     if wide.limit(1).count():
-        links = packed(links.union(_wide_links(wide, own, threshold)), "similar")
+        links = packed(links.union(_wide_links(wide, own, slim, threshold)), "similar")
         found = components(links)
         apart = _apart(buckets, found)
     narrow = apart.where(F.col("n") <= WIDE)
@@ -332,16 +332,17 @@ def tile_links(texts: list[bytes], own: np.ndarray, loose: np.ndarray, threshold
     return links
 
 
-def _wide_links(wide: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+def _wide_links(wide: DataFrame, own: DataFrame, slim: DataFrame, threshold: float) -> DataFrame:
     """Links ``a``-``b`` between the classes of wide buckets. Texts outside a bucket's largest class (loose ones) meet all
     of its texts, tile by tile; where one tile holds the loose ones, the others are moved once."""
-    rows = wide.join(own.select("_digest", "_shingles", "text"), "_digest").withColumn("_loose", F.col("class") != F.col("main"))
+    rows = wide.withColumn("_loose", F.col("class") != F.col("main"))
 
     def tiles(some: Column) -> Column:
         return F.ceil(F.greatest(F.count_if(some) / TILE, F.sum(F.when(some, F.col("_shingles"))) / TILE_SHINGLES, F.lit(1)))
 
-    sizes = rows.groupBy("key").agg(tiles(F.lit(True)).alias("_all"), tiles(F.col("_loose")).alias("_few"))
-    rows, h = rows.join(sizes, "key"), F.xxhash64("_digest")
+    sizes = rows.join(slim.select("_digest", "_shingles"), "_digest").groupBy("key").agg(tiles(F.lit(True)).alias("_all"), tiles(F.col("_loose")).alias("_few"))
+    # Texts come last, by their digests, so that those of one bucket are not brought together before they are in tiles.
+    rows, h = packed(rows.join(sizes, "key"), "tiles").join(own.select("_digest", "text"), "_digest"), F.xxhash64("_digest")
     carried = ["_digest", "class", "text"]
     sides = [rows.where("_loose").select("key", F.pmod(h, "_few").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("_j"), F.lit(True).alias("_first"), *carried),
              rows.select("key", F.explode(F.sequence(F.lit(0), F.col("_few") - 1)).alias("_i"), F.pmod(h, "_all").alias("_j"), F.lit(False).alias("_first"), *carried)]
