@@ -41,3 +41,13 @@ def test_row_numbers_join_in_the_partitions_of_the_windows(spark, shuffled_joins
     assert placed.columns == ["Date", "Station", "Feature", "Value", "_pos", "_total"]
     assert values(placed, "_pos") == {("s1", "f"): [1, 2, 3, 4, 5], (None, "f"): [1, 2, 3, 4, 5]}
     assert {r["_total"] for r in placed.collect()} == {5}
+
+
+def test_padding_reads_the_cells_once(spark):
+    padded = windows.windowed(two_series(spark), n_steps=4, tail="pad")
+    assert "Union" not in plan(padded)
+    assert padded.columns == ["Date", "Station", "Feature", "Value", "window_id", "step", "is_pad"]
+    rows = sorted((r["Station"] or "", r["window_id"], r["step"], r["Date"] is None, r["Value"], r["is_pad"]) for r in padded.where("window_id = 1").collect())
+    assert [r[:4] + r[5:] for r in rows] == [(s, 1, k, k > 0, k > 0) for s in ("", "s1") for k in range(4)]
+    assert [r[4] for r in rows] == [11, None, None, None, 5, None, None, None]
+    assert padded.count() == 16
