@@ -8,6 +8,7 @@ from panelfill.functions.keys import CELL, SERIES
 from panelfill.operators.clean import clip_to_range, drop_stations
 from panelfill.operators.gaps import interpolate_interior
 from panelfill.operators.scan import cell_join
+from panelfill.sources.storage import stored
 
 
 def missing_mask(p: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def station_pattern(mask: DataFrame) -> DataFrame:
 def absent_combos(p: DataFrame) -> DataFrame:
     """(Station, Feature) pairs without a single row. Only the list of features is held in one place."""
     series = p.select(*SERIES).distinct()
-    every_feature = p.select(F.sort_array(F.collect_set("Feature")).alias("f")).scalar()
+    every_feature = series.select(F.sort_array(F.collect_set("Feature")).alias("f")).scalar()
     present = series.groupBy("Station").agg(F.collect_set("Feature").alias("_have"))
     return present.select("Station", F.explode(F.array_except(every_feature, F.col("_have"))).alias("Feature"))
 
@@ -59,10 +60,12 @@ def absent_combos(p: DataFrame) -> DataFrame:
 def complete_pattern(mask: DataFrame, exclude_stations=()) -> DataFrame:
     """Add the absent combos. Their mask is the mean of the feature's and the station's missing rate,
     rounded half to even; a rate that is not known on a Date is left out of the mean."""
-    absent = absent_combos(mask)
+    absent = stored(absent_combos(mask), "absent-combos")
+    # Only stations that lack a feature are asked for their rates.
+    lacking = mask.join(absent.select("Station").distinct(), "Station", "left_semi")
     by_feature = absent.join(feature_pattern(mask, exclude_stations), "Feature") \
         .select(*CELL, F.col("feat_missing").alias("_rate"))
-    by_station = absent.join(station_pattern(mask), "Station") \
+    by_station = absent.join(station_pattern(lacking), "Station") \
         .select(*CELL, F.col("stat_missing").alias("_rate"))
     guessed = by_feature.unionByName(by_station).groupBy(*CELL).agg(
         F.rint(F.avg("_rate")).cast("boolean").alias("missing"))

@@ -51,3 +51,14 @@ def test_padding_reads_the_cells_once(spark):
     assert [r[:4] + r[5:] for r in rows] == [(s, 1, k, k > 0, k > 0) for s in ("", "s1") for k in range(4)]
     assert [r[4] for r in rows] == [11, None, None, None, 5, None, None, None]
     assert padded.count() == 16
+
+
+def test_rates_of_stations_that_lack_nothing_are_not_asked_for(spark):
+    p = panel(spark, {("s1", "f"): [1, None], ("s1", "g"): [None, 2], ("s2", "f"): [None, 3], ("s3", "g"): [None, None]})
+    whole = pattern.complete_pattern(pattern.missing_mask(p))
+    assert "LeftSemi" in plan(whole)
+    guessed = {(r["Station"], r["Feature"], (r["Date"] - START).days): r["missing"] for r in whole.collect()}
+    # s2 has no g: the feature lacks in all and half of its stations, the station lacks, then not.
+    assert len(guessed) == 12
+    assert (guessed["s2", "g", 0], guessed["s2", "g", 1]) == (True, False)
+    assert (guessed["s3", "f", 0], guessed["s3", "f", 1]) == (True, True)
