@@ -62,3 +62,8 @@ def test_rates_of_stations_that_lack_nothing_are_not_asked_for(spark):
     assert len(guessed) == 12
     assert (guessed["s2", "g", 0], guessed["s2", "g", 1]) == (True, False)
     assert (guessed["s3", "f", 0], guessed["s3", "f", 1]) == (True, True)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_alignment_reads_written_fills(spark):
+    assert "Window" not in plan(entry_points.queries()["aligned_to_truth"](spark, SF))
