@@ -136,6 +136,15 @@ def regularise(p: DataFrame, step: str = "1h", per_feature: bool = True) -> Data
     return steps.select(date.alias("Date"), *SERIES, checked.alias("Value"))
 
 
+def grid_dates(p: DataFrame, step: str = "1h") -> DataFrame:
+    """The dates of ``regularise(p, step, per_feature=False)``, from the range of the readings alone."""
+    ends = p.agg(F.min("Date").alias("_lo"), epoch_micros(F.max("Date")).alias("_hi"))
+    micros_a_step = freq_seconds(step) * 1_000_000
+    n = _whole(F.col("_hi") - epoch_micros(F.col("_lo")), micros_a_step)
+    steps = ends.where(F.col("_lo").isNotNull()).select("_lo", F.explode(F.sequence(F.lit(0).cast("bigint"), n)).alias("_i"))
+    return steps.select(add_seconds(F.col("_lo"), F.col("_i") * freq_seconds(step)).alias("Date"))
+
+
 def bucket_label(p: DataFrame, freq: str, date: str = "Date") -> Column:
     """Label of the resampling bucket. Weeks run Monday..Sunday and carry the Sunday.
 

@@ -67,17 +67,20 @@ def masked_mae(m: DataFrame, truth: DataFrame, mask: DataFrame, keys=()) -> Data
     return joined.groupBy(*keys).agg(F.avg(err).alias("masked_mae"))
 
 
-def head_rows(p: DataFrame, n: int) -> DataFrame:
-    """All cells of the first n dates: the tuning sample. Only the distinct dates are sorted."""
-    first = p.select("Date").distinct().orderBy("Date").limit(n)
+def head_rows(p: DataFrame, n: int, dates: DataFrame | None = None) -> DataFrame:
+    """All cells of the first n dates: the tuning sample. Only the distinct dates are sorted.
+
+    ``dates`` are the dates of the panel where they are known without it (``clean.grid_dates``); else the panel is read for them.
+    """
+    first = (p if dates is None else dates).select("Date").distinct().orderBy("Date").limit(n)
     return p.join(first, "Date", "left_semi")
 
 
-def last_points(p: DataFrame, freq: str = "1d", resampled: bool = True) -> DataFrame:
-    """All cells of the last 365 (daily), 52 (weekly) or 720 (hourly) dates."""
+def last_points(p: DataFrame, freq: str = "1d", resampled: bool = True, dates: DataFrame | None = None) -> DataFrame:
+    """All cells of the last 365 (daily), 52 (weekly) or 720 (hourly) dates; ``dates`` as in ``head_rows``."""
     f = freq.lower()
     n = 365 if resampled and "d" in f else 52 if resampled and "w" in f else 30 * 24
-    last = p.select("Date").distinct().orderBy(F.col("Date").desc()).limit(n)
+    last = (p if dates is None else dates).select("Date").distinct().orderBy(F.col("Date").desc()).limit(n)
     return p.join(last, "Date", "left_semi")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelfill.functions.calendar import hour_start, midnight, monday
 from panelfill.functions.keys import CELL
-from panelfill.operators.clean import regularise
+from panelfill.operators.clean import grid_dates, regularise
 from panelfill.operators.masks import mask_mcar
 from panelfill.sources.storage import stored
 
@@ -55,6 +55,11 @@ def daily(spark, sf_dir) -> DataFrame:
     return regularise(_means(readings(spark, sf_dir), midnight(F.col("Date"))), "1d", per_feature=False)
 
 
+def daily_dates(spark, sf_dir) -> DataFrame:
+    """The dates of the daily panel."""
+    return grid_dates(readings(spark, sf_dir).select(midnight(F.col("Date")).alias("Date")), "1d")
+
+
 def weekly_org(spark, sf_dir) -> DataFrame:
     """The panel with the real gaps: part of the readings, and one supplier without a humidity sensor."""
     some = readings(spark, sf_dir).where((F.col("l_linestatus") == "O") & (F.col("l_quantity") <= 25))

@@ -105,12 +105,12 @@ def windows_split(spark, sf):
 
 @query("last_points", f"SELECT Date, Station, Feature, {V} FROM daily WHERE Date IN (SELECT DISTINCT Date FROM daily ORDER BY Date DESC LIMIT 365)")
 def last_points(spark, sf):
-    return rounded(masks.last_points(tb.daily(spark, sf), "1d"))
+    return rounded(masks.last_points(tb.daily(spark, sf), "1d", dates=tb.daily_dates(spark, sf)))
 
 
 @query("first_rows", f"SELECT Date, Station, Feature, {V} FROM daily WHERE Date IN (SELECT DISTINCT Date FROM daily ORDER BY Date LIMIT 1000)")
 def first_rows(spark, sf):
-    return rounded(masks.head_rows(tb.daily(spark, sf), 1000))
+    return rounded(masks.head_rows(tb.daily(spark, sf), 1000, tb.daily_dates(spark, sf)))
 
 
 @query("every_24th", f"SELECT Date, Station, Feature, {V} FROM (SELECT *, row_number() OVER ({ORDER}) AS i FROM hourly) WHERE i % 24 = 1")
