@@ -59,10 +59,10 @@ def indicating_mask(masked: DataFrame, orig: DataFrame) -> DataFrame:
 
 def masked_mae(m: DataFrame, truth: DataFrame, mask: DataFrame, keys=()) -> DataFrame:
     """sum(|fill - truth| * mask) / sum(mask); unknown truth counts as 0, as in the training check."""
-    joined = (m.withColumnRenamed("Value", "_fill")
-              .join(truth.select(*CELL, F.col("Value").alias("_truth")), CELL)
-              .join(mask.select(*CELL, "indicating"), CELL)
-              .where(F.col("indicating")))
+    # The masked cells come first: they are few, the fills are the panel times the methods.
+    hidden = mask.where(F.col("indicating")).select(*CELL)
+    known = cell_join(truth.select(*CELL, F.col("Value").alias("_truth")), hidden)
+    joined = cell_join(m.withColumnRenamed("Value", "_fill"), known)
     err = F.abs(F.coalesce("_fill", F.lit(0.0)) - F.coalesce("_truth", F.lit(0.0)))
     return joined.groupBy(*keys).agg(F.avg(err).alias("masked_mae"))
 

@@ -29,6 +29,12 @@ def test_dates_of_the_grid_need_no_second_grid(spark, name):
     assert grids(entry_points.queries()[name](spark, SF)) == 1
 
 
+@tables
+@pytest.mark.parametrize("name", ["masked_mae"])
+def test_panels_that_are_read_twice_are_written_once(spark, name):
+    assert grids(entry_points.queries()[name](spark, SF)) == 0
+
+
 def stamps(spark, *texts):
     return spark.createDataFrame([(t, "s1", "f", 1.0) for t in texts], "d string, Station string, Feature string, Value double").select(
         F.col("d").cast("timestamp_ntz").alias("Date"), "Station", "Feature", "Value")
@@ -49,3 +55,29 @@ def test_last_points_by_given_dates(spark):
     by_panel, by_dates = masks.last_points(p, "1d"), masks.last_points(p, "1d", dates=clean.grid_dates(p, "1d"))
     assert by_panel.count() == by_dates.count() == 730
     assert by_panel.exceptAll(by_dates).count() == 0
+
+
+def test_masked_mae_with_repeated_and_absent_keys(spark):
+    p = panel(spark, {("s1", "f"): [1.0, 2.0, None, 4.0], ("s2", "f"): [5.0, 6.0, 7.0, None], (None, "f"): [9.0, 9.0, 9.0, 9.0]})
+    m = p.withColumn("method", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn(
+        "Value", F.when(F.col("method") == "a", F.col("Value") + 3).otherwise(F.lit(None)))
+    m = m.unionByName(m.where("method = 'a' AND Station = 's1'").withColumn("Value", F.lit(0.0)))
+    mask = masks.indicating_mask(p.withColumn("Value", F.when(F.dayofmonth("Date") % 2 == 1, F.col("Value"))), p)
+    cells = {(r[0], r[1]): r[2] for r in p.where("Station IS NOT NULL").select("Date", "Station", "Value").collect()}
+    hidden = {(r["Date"], r["Station"]) for r in mask.where("indicating").collect()}
+    errors = {"a": [], "b": []}
+    for r in m.where("Station IS NOT NULL").collect():
+        if (r["Date"], r["Station"]) in hidden:
+            errors[r["method"]].append(abs((r["Value"] or 0.0) - (cells[r["Date"], r["Station"]] or 0.0)))
+    got = {r["method"]: r["masked_mae"] for r in masks.masked_mae(m, p, mask, keys=["method"]).collect()}
+    assert got == pytest.approx({k: sum(v) / len(v) for k, v in errors.items()})
+
+
+def test_masked_cells_meet_the_truth_before_the_fills(spark):
+    p = panel(spark, {("s1", "f"): [1.0, None, 3.0], ("s2", "f"): [4.0, 5.0, 6.0]})
+    m = fill.run_methods(p, ["mean"], value="Value")
+    mask = masks.indicating_mask(p.withColumn("Value", F.lit(None).cast("double")), p)
+    lines = masks.masked_mae(m, p, mask, keys=["method"])._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    fills, joins = next(i for i, x in enumerate(lines) if "Generate explode" in x or "mean AS method" in x), [i for i, x in enumerate(lines) if "Join Inner" in x]
+    # The first join in the plan has the fills on its left; no other join lies between.
+    assert joins[0] < fills and not any(joins[0] < i < fills for i in joins[1:])
