@@ -15,7 +15,7 @@ from panelfill.functions.keys import CELL, SERIES
 from panelfill.operators.gaps import (
     blend_flat_ends, ffill_bfill, interpolate_both, nearest_past_then_future)
 from panelfill.operators.reshape import with_partition
-from panelfill.operators.scan import observed_neighbours
+from panelfill.operators.scan import cell_join, observed_neighbours
 
 
 def impute_mean(p: DataFrame, value: str = "Value_missing") -> DataFrame:
@@ -77,7 +77,7 @@ def impute_grouped(p: DataFrame, by: str, pandas_fn, value: str = "Value_missing
 
     filled = q.groupBy("part").applyInPandas(
         run, "Date timestamp_ntz, Station string, Feature string, _filled double")
-    return (p.join(filled, CELL, "left")
+    return (cell_join(p, filled, "left")
             .withColumn(value, F.coalesce(F.col(value), F.when(~F.isnan("_filled"), F.col("_filled"))))
             .select(*p.columns))
 

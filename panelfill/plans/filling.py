@@ -36,7 +36,7 @@ def filled_linear(spark, sf):
 @query("filled_all_methods", f"SELECT method, Date, Station, Feature, {r('Value')} FROM methods UNION ALL "
        "SELECT 'mask', Date, Station, Feature, missing::INT::DOUBLE FROM prepared")
 def filled_all_methods(spark, sf):
-    return rounded(fill.run_methods(tb.prepared(spark, sf), with_truth=True))
+    return rounded(fill.run_methods(tb.working_set(spark, sf), with_truth=True))
 
 
 def _knn_sql(source: str, k: int, weights: str) -> dict[str, str]:
@@ -216,4 +216,4 @@ def runs_measured(spark, sf):
        "round(coalesce(Value_missing, median(Value_missing) OVER (PARTITION BY Station, Feature)), 6) + 0.0 AS Value_missing FROM prepared")
 def filled_by_plug_in(spark, sf):
     """A user's own pandas function, run per station."""
-    return rounded(fill.impute_grouped(tb.prepared(spark, sf), "Station", lambda wide: wide.fillna(wide.median())))
+    return rounded(fill.impute_grouped(tb.working_set(spark, sf), "Station", lambda wide: wide.fillna(wide.median())))

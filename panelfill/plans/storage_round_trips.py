@@ -50,7 +50,7 @@ def working_set_round_trip(spark, sf):
 
 def _imputed(spark, sf):
     path = scratch_path(spark, "imputed")
-    panel_io.write_imputed(fill.run_methods(tb.prepared(spark, sf), with_truth=True), path)
+    panel_io.write_imputed(fill.run_methods(tb.working_set(spark, sf), with_truth=True), path)
     return path
 
 

@@ -146,7 +146,7 @@ def points_masked(spark, sf):
        hidden=tb.hidden_sql("(SELECT *, row_number() OVER (PARTITION BY Station, Feature ORDER BY Value IS NULL, md5(concat_ws('|', '42', Station, Feature, Date::VARCHAR))) AS k, "
                             "count(Value) OVER (PARTITION BY Station, Feature) AS n FROM weekly)", "k <= greatest(1, floor(0.1 * n))"))
 def share_masked_per_series(spark, sf):
-    return rounded(masks.mask_per_series(tb.weekly(spark, sf), 0.1, 42))
+    return rounded(masks.mask_per_series(tb.as_table(tb.weekly(spark, sf)), 0.1, 42))
 
 
 @query("blocks_masked", f"SELECT rate, Date, Station, Feature, {V}, missing, {VM} FROM hidden",

@@ -30,7 +30,7 @@ def test_dates_of_the_grid_need_no_second_grid(spark, name):
 
 
 @tables
-@pytest.mark.parametrize("name", ["masked_mae"])
+@pytest.mark.parametrize("name", ["masked_mae", "filled_all_methods", "filled_by_plug_in", "share_masked_per_series", "imputed_round_trip"])
 def test_panels_that_are_read_twice_are_written_once(spark, name):
     assert grids(entry_points.queries()[name](spark, SF)) == 0
 
