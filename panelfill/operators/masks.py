@@ -54,7 +54,7 @@ def indicating_mask(masked: DataFrame, orig: DataFrame) -> DataFrame:
     """True where exactly one of the two panels has a value."""
     a = masked.select(*CELL, F.col("Value").isNull().alias("_a"))
     b = orig.select(*CELL, F.col("Value").isNull().alias("_b"))
-    return a.join(b, CELL).select(*CELL, (F.col("_a") != F.col("_b")).alias("indicating"))
+    return cell_join(a, b).select(*CELL, (F.col("_a") != F.col("_b")).alias("indicating"))
 
 
 def masked_mae(m: DataFrame, truth: DataFrame, mask: DataFrame, keys=()) -> DataFrame:

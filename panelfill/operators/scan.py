@@ -28,8 +28,12 @@ def led(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def cell_join(a: DataFrame, b: DataFrame, how: str = "inner", keys: list[str] = CELL) -> DataFrame:
-    """Equi-join on whole cell keys, sorted by their hash."""
-    return led(a, *keys).join(led(b, *keys), ["_lead", *keys], how).drop("_lead")
+    """Equi-join on whole cell keys, sorted by their hash.
+
+    Both sides grow with the panel. A stored panel is a few bytes a row in its files, so Spark would take millions of
+    rows for a small table and gather them on the driver; the hint keeps them in the shuffle.
+    """
+    return led(a, *keys).join(led(b, *keys).hint("merge"), ["_lead", *keys], how).drop("_lead")
 
 
 def keyed(df: DataFrame, keys: list[str], part: Column) -> DataFrame:
@@ -62,7 +66,7 @@ def ordinal(df: DataFrame, keys: list[str], order: list[Column | str], bucket: C
         F.coalesce(F.sum("_n").over(w_keys.orderBy("_part").rowsBetween(*BEFORE)), F.lit(0)).alias("_shift"),
         *([F.sum("_n").over(w_keys).alias(total)] if total else []))
     local = F.row_number().over(W.partitionBy("_lead", "_key").orderBy(*order))
-    placed = rows.withColumn(out, local).join(shift, ["_lead", "_key"])
+    placed = rows.withColumn(out, local).join(shift.hint("merge"), ["_lead", "_key"])
     return placed.select(*unkeyed([c for c in df.columns if c != out], keys), (F.col(out) + F.col("_shift")).cast("bigint").alias(out), *([total] if total else []))
 
 
@@ -119,5 +123,5 @@ def observed_neighbours(df: DataFrame, value: str = "Value", keys: list[str] = S
         known = known & F.col("_key")[k].isNotNull()
     found = {"_prev": F.coalesce("_prev", "_in"), "_prev_pos": F.coalesce(F.col("_prev_pos") + shift, "_in_pos"),
              "_next": F.coalesce("_next", "_out"), "_next_pos": F.coalesce(F.col("_next_pos") + shift, "_out_pos"), "_mean": F.col("_mean")}
-    return local.join(carried, ["_lead", "_key"]).select(
+    return local.join(carried.hint("merge"), ["_lead", "_key"]).select(
         *unkeyed(df.columns, keys), *[F.when(known, c).alias(n) for n, c in found.items()], (F.col("_rn") + shift).alias("_pos"))
