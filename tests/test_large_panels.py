@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
-from helpers import panel, values
-from panelfill.operators import masks, scan
+from helpers import matrix_of, matrix_panel, panel, random_matrix, values
+from panelfill.operators import centroid, masks, neighbours, reshape, scan
+from panelfill.sources.storage import stored
 
 
 def plan(df):
@@ -21,11 +22,29 @@ def all_look_small(spark):
 
 
 def test_cells_are_never_gathered_on_the_driver(spark, all_look_small):
-    truth = panel(spark, {("s1", "f"): [1, None, 3], (None, "f"): [7, None, 9]})
-    masked = panel(spark, {("s1", "f"): [None, None, 3], (None, "f"): [None, None, 9]})
+    truth = stored(panel(spark, {("s1", "f"): [1, None, 3], (None, "f"): [7, None, 9]}))
+    masked = stored(panel(spark, {("s1", "f"): [None, None, 3], (None, "f"): [None, None, 9]}))
     mask = masks.indicating_mask(masked, truth)
     mae = masks.masked_mae(truth.withColumn("Value", truth["Value"] + 2), truth, mask)
     for df in (mask, mae, scan.observed_neighbours(truth), scan.date_ordinal(truth, scan.SERIES)):
         assert "Broadcast" not in plan(df)
     assert values(mask, "indicating") == {("s1", "f"): [True, False, False]}
     assert [r["masked_mae"] for r in mae.collect()] == [2.0]
+
+
+def test_rows_of_a_part_are_never_gathered(spark, all_look_small):
+    p = reshape.with_partition(stored(panel(spark, {("s1", "f"): [1, None, 3], ("s2", "f"): [4, 5, None]})), "Feature")
+    rows = neighbours.row_vectors(p, "Value")
+    assert "BuildLeft" not in plan(rows)
+    assert sorted(r["x"] for r in rows.where("x[0] is not null").collect()) == [[1, 4], [3, None]]
+
+
+def test_centroids_of_a_whole_part_are_those_of_its_blocks(spark):
+    x = random_matrix(30, 8, 0.3, 3)
+    x[:, 5] = np.nan
+    p = matrix_panel(spark, x).unionByName(panel(spark, {("a", "g"): [1, None, 3, 4], ("b", "g"): [2, 5, None, 7]}))
+    by_rounds, whole = (values(centroid.impute_centroid(p, "Value", rank=2, max_iter=4, block_cells=40, whole_cells=n)) for n in (0, 240))
+    assert by_rounds.keys() == whole.keys()
+    for k, vs in whole.items():
+        assert np.allclose(np.array(vs, float), np.array(by_rounds[k], float), equal_nan=True)
+    assert whole[("s05", "f")] == [None] * 30
