@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import matrix_of, matrix_panel, panel, random_matrix, values
-from panelfill.operators import centroid, masks, neighbours, reshape, scan
+from panelfill.operators import boosted, centroid, masks, neighbours, reshape, scan
 from panelfill.sources.storage import stored
 
 
@@ -48,3 +49,24 @@ def test_centroids_of_a_whole_part_are_those_of_its_blocks(spark):
     for k, vs in whole.items():
         assert np.allclose(np.array(vs, float), np.array(by_rounds[k], float), equal_nan=True)
     assert whole[("s05", "f")] == [None] * 30
+
+
+@pytest.mark.parametrize("subsample, colsample", [(1.0, 1.0), (0.7, 0.5)])
+def test_trees_of_a_whole_part_are_those_grown_by_level(spark, monkeypatch, subsample, colsample):
+    x = random_matrix(40, 7, 0.4, 5)
+    x[:, 6] = np.nan
+    p = matrix_panel(spark, x).unionByName(panel(spark, {("a", "g"): [1, None, 3, 4], ("b", "g"): [2, 5, None, 7]}))
+    held = F.pmod(F.xxhash64("Date"), F.lit(5)) == 0
+    how, trees, fills = (3, 3, 0.3, 0.5, subsample, colsample, 42), [], []
+    for n in (0, 1 << 20):
+        monkeypatch.setitem(boosted.Boosted.__init__.__kwdefaults__, "whole_cells", n)
+        monkeypatch.setattr(boosted, "LANE_CELLS", 500)
+        grown = boosted.Boosted(p, "Value", "Feature", None, held).grown(*how)
+        trees.append({(r["part"], r["target"], r["round"], r["level"]): r for r in grown.collect()})
+        fills.append(matrix_of(boosted.impute_gbt(p.where("Feature = 'f'"), "Value", "Feature", *how[:4], subsample, colsample)))
+    assert trees[0].keys() == trees[1].keys()
+    for k, a in trees[0].items():
+        b = trees[1][k]
+        assert np.allclose(np.frombuffer(a["splits"]), np.frombuffer(b["splits"])) and (a["n"], a["n_held"]) == (b["n"], b["n_held"])
+        assert np.allclose((a["loss"], a["held_loss"]), (b["loss"], b["held_loss"]))
+    assert np.allclose(*fills, equal_nan=True) and np.isnan(fills[1][:, 6]).all()
