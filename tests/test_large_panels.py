@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import matrix_of, matrix_panel, panel, random_matrix, values
-from panelfill.operators import boosted, centroid, masks, neighbours, reshape, scan
+from panelfill.operators import boosted, centroid, chained, masks, neighbours, reshape, scan
 from panelfill.sources.storage import stored
 
 
@@ -70,3 +70,16 @@ def test_trees_of_a_whole_part_are_those_grown_by_level(spark, monkeypatch, subs
         assert np.allclose(np.frombuffer(a["splits"]), np.frombuffer(b["splits"])) and (a["n"], a["n_held"]) == (b["n"], b["n_held"])
         assert np.allclose((a["loss"], a["held_loss"]), (b["loss"], b["held_loss"]))
     assert np.allclose(*fills, equal_nan=True) and np.isnan(fills[1][:, 6]).all()
+
+
+@pytest.mark.parametrize("penalty", [None, 1.0])
+def test_parts_with_few_dates_are_chained_in_one_task(spark, penalty):
+    x = random_matrix(12, 15, 0.3, 7)
+    x[:, 4] = np.nan
+    p = matrix_panel(spark, x).unionByName(panel(spark, {("a", "g"): [1, None, 3, 4], ("b", "g"): [2, 5, None, 7]}))
+    how = {"value": "Value", "max_iter": 3, "penalty": penalty, "block_cells": 60}
+    staged, folded, whole = (values(chained.impute_chained(p, **how, **size)) for size in (
+        {"whole_cells": 0}, {"whole_cells": 0, "budget": 1 << 10}, {"whole_cells": 180}))
+    for k, vs in whole.items():
+        assert np.allclose(np.array(vs, float), np.array(staged[k], float), equal_nan=True)
+    assert whole.keys() == staged.keys() == folded.keys() and whole[("s04", "f")] == [None] * 12
