@@ -82,8 +82,8 @@ def impute_grouped(p: DataFrame, by: str, pandas_fn, value: str = "Value_missing
             .select(*p.columns))
 
 
-def _as_method(df: DataFrame, name: str, value: str) -> DataFrame:
-    return df.select(F.lit(name).alias("method"), *CELL, F.col(value).alias("Value"))
+def _as_method(df: DataFrame, name: str, value: str, *also: str) -> DataFrame:
+    return df.select(F.lit(name).alias("method"), *CELL, F.col(value).alias("Value"), *also)
 
 
 def union_panels(*panels: DataFrame) -> DataFrame:
@@ -97,26 +97,30 @@ union_methods = union_panels
 
 
 def run_methods(p: DataFrame, methods=("mean", "ffill", "interpolation"), params: dict | None = None,
-                value: str = "Value_missing", with_truth: bool = False) -> DataFrame:
+                value: str = "Value_missing", with_truth: bool = False, mark_hidden: bool = False) -> DataFrame:
     """Fill one prepared panel with several methods -> (method, Date, Station, Feature, Value).
 
     The methods that only look along their own series share one ordered scan and come out of it as rows
-    of one explode; the others are added by union. ``with_truth`` adds 'original' and 'mask'.
+    of one explode; the others are added by union. ``with_truth`` adds 'original' and 'mask'. ``mark_hidden`` adds the column
+    hidden: whether the cell's truth was hidden. Scores then need not move the other fills; no cell of ``p`` may come twice.
     """
     params = params or {}
+    also = ["hidden"] if mark_hidden else []
+    if mark_hidden:
+        p = p.withColumn("hidden", F.col("missing") & F.col("Value").isNotNull())
     parts = []
     shared = [m for m in methods if m in SINGLE_SCAN and _REGISTRY[m] in (impute_mean, impute_ffill, impute_linear)]
     if shared:
-        scanned = observed_neighbours(p.select(*CELL, value), value)
+        scanned = observed_neighbours(p.select(*CELL, value, *also), value)
         options = F.array(*[F.struct(F.lit(m).alias("method"), SINGLE_SCAN[m](F.col(value)).alias("Value")) for m in shared])
-        parts.append(scanned.select(*CELL, F.explode(options).alias("_o")).select(
-            F.col("_o.method").alias("method"), *CELL, F.col("_o.Value").alias("Value")))
+        parts.append(scanned.select(*CELL, *also, F.explode(options).alias("_o")).select(
+            F.col("_o.method").alias("method"), *CELL, F.col("_o.Value").alias("Value"), *also))
     for m in methods:
         if m not in shared:
-            parts.append(_as_method(imputer(m)(p, value=value, **params.get(m, {})), m, value))
+            parts.append(_as_method(imputer(m)(p, value=value, **params.get(m, {})), m, value, *also))
     if with_truth:
-        parts.append(_as_method(p, "original", "Value"))
-        parts.append(_as_method(p.withColumn("_m", F.col("missing").cast("double")), "mask", "_m"))
+        parts.append(_as_method(p, "original", "Value", *also))
+        parts.append(_as_method(p.withColumn("_m", F.col("missing").cast("double")), "mask", "_m", *also))
     return union_methods(*parts)
 
 

@@ -129,8 +129,8 @@ def aligned_to_truth(spark, sf):
 
 @query("hidden_cells_joined", f"SELECT method, Date, Station, Feature, {r('truth')}, {r('fill')} FROM cells")
 def hidden_cells_joined(spark, sf):
-    p = tb.prepared(spark, sf)
-    return rounded(score.score_cells(p, fill.run_methods(p, with_truth=True)))
+    p = tb.working_set(spark, sf)
+    return rounded(score.score_cells(p, fill.run_methods(p, with_truth=True, mark_hidden=True)))
 
 
 @query("unmatched_series", "SELECT method, s.Station, s.Feature, 'imputed' AS lacking_from FROM (SELECT DISTINCT Station, Feature FROM weekly) s "

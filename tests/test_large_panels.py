@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import matrix_of, matrix_panel, panel, random_matrix, values
-from panelfill.operators import boosted, centroid, chained, masks, neighbours, reshape, scan
+from panelfill.operators import boosted, centroid, chained, fill, masks, neighbours, reshape, scan, score
 from panelfill.sources.storage import stored
 
 
@@ -83,3 +83,18 @@ def test_parts_with_few_dates_are_chained_in_one_task(spark, penalty):
     for k, vs in whole.items():
         assert np.allclose(np.array(vs, float), np.array(staged[k], float), equal_nan=True)
     assert whole.keys() == staged.keys() == folded.keys() and whole[("s04", "f")] == [None] * 12
+
+
+def test_only_fills_of_hidden_cells_go_to_the_scores(spark):
+    p = panel(spark, {("s1", "f"): [1, 2, 3, None], ("s2", "f"): [5, 6, None, 8], (None, "f"): [7, 8, 9, 9]})
+    p = masks.mask_mcar(p, 0.5, 3)
+    marked = fill.run_methods(p, ["mean", "knn"], with_truth=True, mark_hidden=True)
+    plain = marked.drop("hidden")
+    key = lambda r: (r["method"], r["Date"], r["Station"], r["Feature"], r["truth"], r["fill"])
+    moved, all_moved = score.score_cells(p, marked), score.score_cells(p, plain)
+    assert sorted(map(key, moved.collect())) == sorted(map(key, all_moved.collect())) and moved.count() > 0
+    assert {r["method"] for r in marked.where("hidden").select("method").distinct().collect()} == {"mean", "knn", "original", "mask"}
+    assert marked.where("hidden").count() == 4 * p.where("missing").count() < marked.count()
+    # A mask of its own decides alone.
+    other = p.select("Date", "Station", "Feature", (~F.col("missing")).alias("missing"))
+    assert sorted(map(key, score.score_cells(p, marked, other).collect())) == sorted(map(key, score.score_cells(p, plain, other).collect()))
