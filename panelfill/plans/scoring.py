@@ -15,7 +15,7 @@ from panelfill.sources.storage import stored
 def _inputs(spark, sf):
     """The prepared panel and its fills, written out between the steps: scoring reads both several times."""
     p = tb.working_set(spark, sf)
-    return p, stored(fill.run_methods(p, with_truth=True), "fills")
+    return p, stored(fill.run_methods(p, with_truth=True, mark_hidden=True), "fills")
 
 
 @query("series_scores", f"SELECT method, Station, Feature, {r('RMSE')}, {r('MAE')}, {r('MAPE')}, {r('R2')}, {r('cosine_similarity')} FROM series_scores")
